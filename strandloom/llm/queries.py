@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import exact_dedup
-from strandloom.llm.common import table
+from strandloom.llm import exact_dedup, token_counts, token_store
+from strandloom.llm.common import shared_dir, table
+
+WORDS = "word_bpe_49k.json"
+BYTES = "byte_bpe_50k.json"
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 OP1_SQL = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -21,9 +33,21 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer(WORDS), limit=2048)
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/strandloom/tokens-{uuid.uuid4().hex}"
+    token_store.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer(WORDS), end_id=1)
+    return token_store.layout_of(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_token_counts": op2_token_counts,
+        "op9_token_store": op9_token_store,
     }
 
 
