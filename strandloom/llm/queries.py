@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import exact_dedup, token_counts, token_store
+from strandloom.llm import bpe_tree, exact_dedup, simhash, token_counts, token_store
 from strandloom.llm.common import shared_dir, table
 
 WORDS = "word_bpe_49k.json"
@@ -37,6 +37,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer(WORDS), limit=2048)
 
 
+def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.encoded(table(spark, sf_dir, "documents"), tokenizer(BYTES))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/strandloom/tokens-{uuid.uuid4().hex}"
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer(WORDS), end_id=1)
@@ -47,6 +55,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_token_counts": op2_token_counts,
+        "op3_bpe_tree": op3_bpe_tree,
+        "op7_simhash": op7_simhash,
         "op9_token_store": op9_token_store,
     }
 
