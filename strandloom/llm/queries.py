@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe_tree, decontaminate, exact_dedup, simhash, token_counts, token_store, url_filter
+from strandloom.llm import bpe_tree, decontaminate, exact_dedup, html_extract, quality, simhash, token_counts, token_store, url_filter
 from strandloom.llm.common import shared_dir, table
 
 WORDS = "word_bpe_49k.json"
@@ -79,12 +79,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/strandloom/tokens-{uuid.uuid4().hex}"
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer(WORDS), end_id=1)
     return token_store.layout_of(spark, path)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page against the example list; fetch times are derived from page_id, as pages have none."""
     pages = table(spark, sf_dir, "pages")
@@ -104,8 +113,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_token_counts": op2_token_counts,
         "op3_bpe_tree": op3_bpe_tree,
+        "op4_quality": op4_quality,
         "op6_url_filter": op6_url_filter,
         "op7_simhash": op7_simhash,
+        "op8_html_extract": op8_html_extract,
         "op9_token_store": op9_token_store,
         "op10_decontaminate": op10_decontaminate,
     }
