@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe_tree, decontaminate, exact_dedup, html_extract, quality, simhash, token_counts, token_store, url_filter
+from strandloom.llm import bpe_tree, decontaminate, exact_dedup, html_extract, quality, simhash, suffix_dedup, token_counts, token_store, url_filter
 from strandloom.llm.common import shared_dir, table
 
 WORDS = "word_bpe_49k.json"
@@ -94,6 +94,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page against the example list; fetch times are derived from page_id, as pages have none."""
     pages = table(spark, sf_dir, "pages")
@@ -114,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_bpe_tree": op3_bpe_tree,
         "op4_quality": op4_quality,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_url_filter": op6_url_filter,
         "op7_simhash": op7_simhash,
         "op8_html_extract": op8_html_extract,
