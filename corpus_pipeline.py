@@ -1,11 +1,63 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality filter, exact and near deduplication, decontamination, and an encoding round trip.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. :func:`run` writes each stage's result as Parquet in the
+shared folder and reads it again for the next, so a lost executor costs one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.llm import bpe_tree, decontaminate, exact_dedup, quality, simhash
+from strandloom.llm.common import stored, table
+from strandloom.llm.queries import BYTES, tokenizer
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal text (but for the case of A-Z), the one with the largest doc_id."""
+    return exact_dedup.deduplicated(docs, keep="max")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates by SimHash, the one that names the component, which has the smallest doc_id."""
+    return simhash.representatives(docs, words=3, radius=2)
+
+
+def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no ten consecutive words of a benchmark item occur."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), window=10)
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every remaining document's encoding: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, for texts that decode to themselves."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    marks = docs.select(F.col("doc_id").alias("of_id"), F.sha2(text, 256).alias("text_sha256")).distinct()
+    found = bpe_tree.encoded(docs, tokenizer(BYTES))
+    whole = found.join(marks, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("decoded_sha256") == F.col("text_sha256")), "left_semi")
+    return whole.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("simhash near-dedup", near_stage),
+    ("benchmark decontamination", clean_stage),
+    ("bpe encoding and decoding", encode_stage),
+]
+
+#: The classifier, SimHash and BPE have no SQL; tests hold the pipeline against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, over the whole of documents."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{k}")
     return docs

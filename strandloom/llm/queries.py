@@ -76,7 +76,7 @@ def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
+    return simhash.near_groups(table(spark, sf_dir, "documents"), words=3, radius=2).drop("hashed", "class")
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

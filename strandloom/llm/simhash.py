@@ -25,7 +25,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import batches_of, rows_of, small_batches, stored, whole_text
@@ -55,17 +55,18 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: ``doc_id, print`` (the fingerprint's bits as a long)."""
+    """One row for each input row: ``doc_id, hashed`` (of the text), ``print`` (the fingerprint's bits as a long)."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("hashed", pa.int64()), ("print", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(text, words, seed) for text in batch.column(1).to_pylist()], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64), pa.int64())], schema=schema)
+            prints = np.array([fingerprint(text, words, seed) for text in batch.column(2).to_pylist()], np.uint64)
+            yield pa.record_batch([*batch.columns[:2], pa.array(prints.view(np.int64), pa.int64())], schema=schema)
 
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), whole_text(docs[text_col]).cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, print long")
+    text = whole_text(docs[text_col])
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("hashed"), text.cast("binary").alias("text"))
+    return own.mapInArrow(run, "doc_id long, hashed long, print long")
 
 
 def _offsets(radius: int) -> list[int]:
@@ -172,12 +173,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: ``doc_id, fingerprint`` (16 lowercase hex digits), ``component_id`` (smallest identifier reachable)."""
+    """One row for each input row: ``doc_id, fingerprint`` (16 lowercase hex digits), ``component_id`` (smallest identifier reachable),
+    ``hashed`` (of the text), ``class`` (the same value throughout a component)."""
     prints = stored(fingerprints(docs, words, 42, id_col, text_col), "simhash-prints")
     roots = components(links(prints, radius))
     lowest = prints.groupBy("print").agg(F.min("doc_id").alias("lowest"))
     classes = lowest.join(roots, F.col("print") == F.col("node"), "left").select("print", "lowest", F.coalesce("root", "print").alias("class"))
     names = classes.groupBy("class").agg(F.min("lowest").alias("component_id")).select(F.col("class").alias("named"), "component_id")
-    classes = classes.join(names, F.col("class") == F.col("named")).select(F.col("print").alias("of_print"), "component_id")
+    classes = classes.join(names, F.col("class") == F.col("named")).select(F.col("print").alias("of_print"), "component_id", "class")
     found = prints.join(classes, F.col("print") == F.col("of_print"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "hashed", "class")
+
+
+def representatives(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns: the one with the smallest identifier."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hashed")
+    stay = near_groups(docs, words, radius, id_col, text_col).groupBy("class").agg(F.min(order).alias("least"))
+    stay = stay.select(F.col("least.doc_id").alias("stay_id"), F.col("least.hashed").alias("stay_hashed")).distinct()
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("own_id"), F.xxhash64(whole_text(docs[text_col])).alias("own_hashed"))
+    met = packed.join(stay, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_hashed") == F.col("stay_hashed")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("own_id", "own_hashed").orderBy(F.lit(1)))
+    return met.withColumn("nth", nth).filter("nth = 1").select("row.*")
