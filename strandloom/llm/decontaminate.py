@@ -5,7 +5,8 @@
 2. Term frequencies over all documents come from the stored postings. Each window of an item gets its rarest terms.
 3. Postings of those terms, adjusted by their place in the item, meet on the diagonal (document, item, position minus
    place): a window is a candidate where all of its rarest terms lie on one diagonal.
-4. Candidates meet their documents again, and all of a window's words are compared: exact phrase matches.
+4. Candidates meet their documents again, and all of a window's words are compared: exact phrase matches. A bit map of
+   fixed size keeps documents without candidates out of that shuffle.
 
 Each posting joins only the item places whose window has it among its rarest terms, and postings of one diagonal are
 aggregated before they are tested, so a frequent passage costs its number of occurrences. The benchmark is the stated
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import lower_ascii, stored, whole_text
+from strandloom.llm.common import lower_ascii, marked_only, stored, whole_text
 
 #: After A-Z are lower-cased, runs of these separate words: ASCII but for a-z and 0-9. Fixed value of the word rule.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -103,7 +104,8 @@ def exact_spans(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id",
     by_doc = stored(by_doc, "candidates").withColumnsRenamed({"doc_id": "c_id", "hashed": "c_hashed"})
     text = whole_text(docs[text_col])
     own = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("hashed"), text.alias("t"))
-    met = own.join(by_doc, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("hashed") == F.col("c_hashed")))
+    own = marked_only(own, by_doc.select(F.col("c_id").alias("doc_id"), F.col("c_hashed").alias("hashed")))
+    met = own.join(by_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("hashed") == F.col("c_hashed")))
     words = met.select("doc_id", "hashed", "cases", split_words(F.col("t")).alias("words"))
 
     def verified(case: Column) -> Column:

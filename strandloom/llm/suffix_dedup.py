@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import batches_of, rows_of, small_batches, stored, whole_text
+from strandloom.llm.common import batches_of, marked_only, rows_of, small_batches, stored, whole_text
 
 #: Leading bytes by which anchors are chosen and meet; a multiple of eight.
 GRAM = 32
@@ -43,8 +43,6 @@ BANDS = 2
 SEGMENT = 1 << 19
 #: Groups up to this size are compared pair by pair, larger ones by sorting.
 FEW = 6
-#: Bits of the map that keeps unmarked documents out of a shuffle.
-MAP_BITS = 26
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 _HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -309,16 +307,6 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches_of(rows(), pa.schema([("doc_id", pa.int64()), ("hashed", pa.int64()), ("kept", pa.string())]))
 
 
-def marked_only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, hashed) may be in ``keys``: a filter by a bit map, broadcast as at most 2**20 rows."""
-    bit = F.pmod(F.xxhash64("doc_id", "hashed"), F.lit(1 << MAP_BITS))
-    bits = keys.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("block"), F.expr("shiftleft(1L, cast(bit & 63 AS int))").alias("mask"))
-    blocks = F.broadcast(bits.groupBy("block").agg(F.bit_or("mask").alias("mask")))
-    own = docs.withColumn("own_bit", bit).withColumn("own_block", F.shiftright("own_bit", 6))
-    met = own.join(blocks, F.col("own_block") == F.col("block"))
-    return met.filter("shiftright(mask, cast(own_bit & 63 AS int)) & 1L = 1L").select(*docs.columns)
-
-
 def repeated_ranges(docs: DataFrame, length: int = 200, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents (``doc_id, hashed, n_bytes, whole``, one row for each input row) and, of those that lose bytes, the merged
     byte ranges (``doc_id, hashed, begins, ends``, one row for each document)."""
