@@ -115,6 +115,15 @@ _BUFFERS = f"""{_READY}, u AS (SELECT *, max(CASE WHEN indel THEN pos + length(r
 v AS (SELECT *, sum(CASE WHEN indel AND (reach IS NULL OR pos + 2 > reach) THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS buffer, indel OR coalesce(pos <= reach, false) AS buffered FROM u)"""
 
 
+_MERGE = f"""{_MERGE_BASE},
+loci AS (SELECT chrom, pos, indel, any_value(ref) AS ref, any_value(ref_base) AS b, bool_or(called AND (a1 <> ref_base OR a2 <> ref_base)) AS varies, max(CASE WHEN gt LIKE '%1%' THEN alt END) AS alt,
+  arg_min(s % 2, sample_id) AS order0, {", ".join(f"max(CASE WHEN sample_id = {k} THEN CASE WHEN gt = './.' THEN CASE WHEN indel THEN '0/0' ELSE '.' END ELSE gt END END) AS g{k}, max(CASE WHEN sample_id = {k} THEN gqx END) AS q{k}, max(CASE WHEN sample_id = {k} THEN dp END) AS d{k}" for k in range(3))}
+  FROM okay GROUP BY chrom, pos, indel),
+labels AS (SELECT chrom, pos, indel, string_agg(label, ';' ORDER BY place) AS filter FROM (SELECT chrom, pos, indel, label, min(place) AS place FROM
+  (SELECT chrom, pos, indel, unnest(string_split(filter, ';')) AS label, sample_id * 10 + unnest(range(len(string_split(filter, ';')))) AS place FROM okay WHERE filter NOT IN ('PASS', '.')) GROUP BY chrom, pos, indel, label) GROUP BY chrom, pos, indel)"""
+_GENOTYPES = " || chr(9) || ".join(f"CASE WHEN g{k} IS NULL THEN '.' WHEN order0 = 0 THEN g{k} || ':' || q{k} || ':' || d{k} ELSE g{k} || ':' || d{k} || ':' || q{k} END" for k in range(3))
+
+
 def oracle_sql() -> dict[str, str]:
     gt_variant = "alt <> '.' AND (gt LIKE '%1%')"
     line = f"SELECT {_LINE} AS line FROM calls"
@@ -125,8 +134,8 @@ def oracle_sql() -> dict[str, str]:
         "extract_nonvariants": f"WITH {D.CALLS} {line} WHERE NOT ({gt_variant})",
         "record_predicates": f"WITH {D.CALLS} SELECT line_no, {gt_variant} AS strict_variant, alt <> '.' AS variant, length(ref) > 1 OR length(alt) > 1 AS indel_block, alt <> '.' AND (length(ref) > 1 OR length(alt) <> length(ref)) AS indel_site, alt <> '.' AND length(alt) <> length(ref) AS indel_range, length(ref) <> 1 AND alt = '.' AS nonvariant_block, CASE WHEN alt <> '.' AND length(alt) <> length(ref) THEN pos + 1 ELSE pos END AS begin, CASE WHEN alt <> '.' AND length(alt) <> length(ref) THEN pos + length(ref) - 1 ELSE pos END AS \"end\" FROM calls",
         "parse_gt": f"WITH {D.CALLS} SELECT line_no, CASE gt WHEN './.' THEN -1 ELSE CAST(gt[1] AS INT) END AS first, CASE gt WHEN './.' THEN -1 ELSE CAST(gt[3] AS INT) END AS second, 2 AS n FROM calls",
-        "numeric_parse": f"WITH {D.CALLS} SELECT line_no, TRY_CAST(qual AS INT) AS qual, CAST(ad0 AS INT) AS ad, CAST(mq + 1 AS INT) AS mq, CAST(qd AS DOUBLE) AS qd, CAST(12 AS BIGINT) AS prefix, CAST(NULL AS INT) AS strict FROM calls",
-        "gqx_derive": f"{_CALLS} SELECT line_no, gqx FROM k",
+        "numeric_parse": f"WITH {D.CALLS} SELECT line_no, TRY_CAST(qual AS DOUBLE) AS qual, CAST(ad0 AS INT) AS ad, CAST(mq + 1 AS INT) AS mq, CAST(qd AS DOUBLE) AS qd, CAST(12 AS BIGINT) AS prefix, CAST(NULL AS DOUBLE) AS strict FROM calls",
+        "gqx_derive": f"{_CALLS} SELECT line_no, CAST(gqx AS DOUBLE) AS gqx FROM k",
         "field_edits": f"WITH {D.CALLS} SELECT chrom || chr(9) || pos || chr(9) || '.' || chr(9) || ref || chr(9) || alt || chr(9) || qual || chr(9) || filter || chr(9) || {edited} || chr(9) || 'GT:GQ:DP:ADX' || chr(9) || gt || ':1:' || dp || ':' || ad0 || ',1' AS line FROM calls",
         "threshold_filters": f"{_CALLS} SELECT line_no, array_to_string({_labels(_FAILS.replace('MQ_UP', '0.6'))}, ';') AS filters FROM k",
         "depth_filter": f"{_CALLS}, d AS (SELECT chrom, 10 + max(k) % 3 AS depth FROM k GROUP BY chrom) SELECT line_no, CASE WHEN dp <> '.' AND TRY_CAST(dp AS INT) > depth * 3 THEN CASE WHEN filter IN ('PASS', '.') THEN 'MaxDepth' ELSE filter || ';MaxDepth' END WHEN filter = '.' THEN '' ELSE filter END AS filters FROM k JOIN d USING (chrom)",
@@ -135,7 +144,7 @@ def oracle_sql() -> dict[str, str]:
         "blockable": f"{_READY} SELECT line_no, blockable FROM ready",
         "indel_buffers": f"{_BUFFERS} SELECT line_no, CAST(buffer AS BIGINT) AS buffer, buffered FROM v",
         "block_islands": f"{_ISLANDS} SELECT chrom, min(pos) AS begin, max(pos) AS \"end\", count(*) AS n FROM islands WHERE blockable GROUP BY chrom, island",
-        "block_compress": f"{_BLOCKS} SELECT chrom, block AS begin, count(*) AS size, any_value(array_to_string(filters, ';')) AS filters, any_value(gt) AS gt, min(dpn) AS min_dp, min(gqx) AS min_gqx, CAST(min(mq) AS INT) AS min_mq, count(gqx) AS n_gqx FROM placed GROUP BY chrom, island, block",
+        "block_compress": f"{_BLOCKS} SELECT chrom, block AS begin, count(*) AS size, any_value(array_to_string(filters, ';')) AS filters, any_value(gt) AS gt, CAST(min(dpn) AS DOUBLE) AS min_dp, CAST(min(gqx) AS DOUBLE) AS min_gqx, CAST(min(mq) AS INT) AS min_mq, count(gqx) AS n_gqx FROM placed GROUP BY chrom, island, block",
         "block_stats": f"{_BLOCKS}, b AS (SELECT count(*) AS size, count(dpn) AS n_dp, stddev_samp(dpn) / sqrt(count(dpn)) AS se FROM placed WHERE covered GROUP BY chrom, island, block) SELECT count(*) AS blocks, round(avg(size), 6) AS size_mean, round(stddev_samp(size), 6) AS size_sd, min(size) AS size_min, max(size) AS size_max, round(avg(se) FILTER (n_dp >= 5), 6) AS mean_se_dp FROM b",
         "stream_stat": "SELECT l_returnflag, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd, round(stddev_samp(l_quantity) / sqrt(count(l_quantity)), 9) AS se, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem GROUP BY l_returnflag",
         "merge_regions": f'WITH {_MERGED} SELECT chrom, begin, "end" FROM merged',
@@ -164,6 +173,7 @@ SELECT line_no, chrom, pos FROM f WHERE kept""",
         "trio_conflicts": f"{_TRIO} SELECT chrom, pos, state, CASE WHEN x2 = y2 THEN 'hom' ELSE 'het' END AS child_state FROM judged WHERE bad",
         "trio_samehet": f"{_TRIO} SELECT chrom, pos FROM judged WHERE {_HETS} AND x2 <> y2 AND x0 = x1 AND x0 = x2 AND y0 = y1 AND y0 = y2",
         "trio_hethethom": f"{_TRIO} SELECT chrom, pos FROM judged WHERE {_HETS} AND x2 = y2 AND x2 <> b",
+        "merge_variants": f"{_MERGE} SELECT l.chrom || chr(9) || l.pos || chr(9) || '.' || chr(9) || CASE WHEN l.indel THEN ref ELSE b END || chr(9) || coalesce(alt, '.') || chr(9) || '.' || chr(9) || coalesce(f.filter, 'PASS') || chr(9) || '.' || chr(9) || CASE WHEN order0 = 0 THEN 'GT:GQX:DP' ELSE 'GT:DP:GQX' END || chr(9) || {_GENOTYPES} AS line FROM loci l LEFT JOIN labels f ON l.chrom = f.chrom AND l.pos = f.pos AND l.indel = f.indel WHERE l.indel OR (b <> 'N' AND varies)",
         "avg_chrom_depth": """WITH reads AS (SELECT event_id % 90 + 10 + CASE WHEN user_id % 3 = 0 THEN user_id % 50 + 1 ELSE 0 END AS aligned, row_number() OVER (ORDER BY event_id) AS rn FROM events WHERE (user_id % 8) & 4 = 0 AND event_id % 11 <> 0),
 m AS (SELECT count(*) AS n, avg(aligned) AS length FROM reads WHERE rn <= 200000)
 SELECT 'chr' || s_suppkey AS chrom, round(s_suppkey * 5 * length / (s_suppkey * 17 + 10), 6) AS depth, n AS n_reads FROM supplier, m WHERE s_suppkey * 17 + 10 >= length""",

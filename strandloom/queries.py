@@ -43,11 +43,11 @@ def parse_gt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def numeric_parse(spark: SparkSession, sf: str) -> DataFrame:
-    return D.calls(spark, sf).select("line_no", R.maybe_int("qual").alias("qual"), R.maybe_int(R.sample_value("AD")).alias("ad"), R.maybe_int(R.info_value("info", "MQ")).alias("mq"), R.maybe_double(R.info_value("info", "QD")).alias("qd"), R.parse_unsigned(F.lit("12x")).alias("prefix"), R.strict(R.parse_int, F.lit("12x")).alias("strict"))
+    return D.calls(spark, sf).select("line_no", R.maybe_int("qual").cast("double").alias("qual"), R.maybe_int(R.sample_value("AD")).alias("ad"), R.maybe_int(R.info_value("info", "MQ")).alias("mq"), R.maybe_double(R.info_value("info", "QD")).alias("qd"), R.parse_unsigned(F.lit("12x")).alias("prefix"), R.strict(R.parse_int, F.lit("12x")).cast("double").alias("strict"))
 
 
 def gqx_derive(spark: SparkSession, sf: str) -> DataFrame:
-    return D.calls(spark, sf).select("line_no", R.gqx().alias("gqx"))
+    return D.calls(spark, sf).select("line_no", R.gqx().cast("double").alias("gqx"))
 
 
 def field_edits(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,7 +104,7 @@ def _compressed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def block_compress(spark: SparkSession, sf: str) -> DataFrame:
-    return _compressed(spark, sf)[1].select("chrom", F.col("block").alias("begin"), "size", F.array_join("first.filter", ";").alias("filters"), "first.gt", "min_dp", "min_gqx", "min_mq", "n_gqx")
+    return _compressed(spark, sf)[1].select("chrom", F.col("block").alias("begin"), "size", F.array_join("first.filter", ";").alias("filters"), "first.gt", F.col("min_dp").cast("double").alias("min_dp"), F.col("min_gqx").cast("double").alias("min_gqx"), "min_mq", "n_gqx")
 
 
 def block_stats(spark: SparkSession, sf: str) -> DataFrame:
