@@ -26,12 +26,16 @@ from strandloom.llm.tokens import pack, word_encoder
 SCHEMA = "doc_id long, part int, row long, n_tokens long, ids array<int>"
 
 
-def writer_options(encoding: str = "dictionary", row_group_bytes: int = 64 << 20, page_rows: int = 2000, page_bytes: int = 1 << 20) -> dict[str, str]:
-    """Options of the Parquet writer for token files."""
+def writer_options(encoding: str = "delta", compression: str = "snappy", row_group_bytes: int = 64 << 20, page_rows: int = 2000, page_bytes: int = 1 << 20) -> dict[str, str]:
+    """Options of the Parquet writer for token files.
+
+    Ids of running text are near to incompressible beyond 16 or 17 bits each, which either encoding reaches; deltas need no
+    table of values while they are written.
+    """
     if encoding not in ("dictionary", "delta"):
         raise ValueError("encoding is 'dictionary' or 'delta'")
     return {
-        "compression": "zstd",
+        "compression": compression,
         "parquet.block.size": str(row_group_bytes),
         "parquet.page.size": str(page_bytes),
         "parquet.page.row.count.limit": str(page_rows),
@@ -49,7 +53,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, row = word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            lists = [encode(text) + end for text in batch.column(1).to_pylist()]
+            lists = [ids + end for ids in encode.batch(batch.column(1).to_pylist())]
             ends = [0]
             for ids in lists:
                 ends.append(ends[-1] + len(ids) // 4)

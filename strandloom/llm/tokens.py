@@ -11,10 +11,10 @@ import os
 import re
 from array import array
 
-#: Entries of a memo before it is emptied.
-MEMO_ENTRIES = 400_000
-#: Longer chunks are encoded each time rather than remembered.
-MEMO_BYTES = 64
+import numpy as np
+
+#: Entries of a memo before it forgets what it has not used lately.
+MEMO_ENTRIES = 300_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -60,52 +60,217 @@ def pack(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
-class Memo(dict):
-    """A dictionary whose missing keys are computed together, a batch at a time."""
-
-    def __init__(self, compute) -> None:
-        super().__init__()
-        self.compute = compute
-
-    def of(self, chunks: list[bytes]) -> list:
-        """The values of ``chunks``, in order."""
-        try:
-            return list(map(self.__getitem__, chunks))
-        except KeyError:
-            pass
-        missing = [chunk for chunk in dict.fromkeys(chunks) if chunk not in self]
-        if len(self) + len(missing) > MEMO_ENTRIES:
-            self.clear()
-            missing = list(dict.fromkeys(chunks))
-        short = [chunk for chunk in missing if len(chunk) <= MEMO_BYTES]
-        self.update(zip(short, self.compute(short), strict=True))
-        if len(short) == len(missing):
-            return list(map(self.__getitem__, chunks))
-        once = [chunk for chunk in missing if len(chunk) > MEMO_BYTES]
-        own = dict(zip(once, self.compute(once), strict=True))
-        return [own[chunk] if chunk in own else self[chunk] for chunk in chunks]
+class Memo:
+    """Values of keys, computed together for those that are missing; when full it keeps what was used since the last time."""
+
+    def __init__(self, compute, entries: int = MEMO_ENTRIES) -> None:
+        self.compute, self.entries = compute, entries
+        self.known: dict = {}
+        self.old: dict = {}
+
+    def fill(self, keys: set[bytes]) -> None:
+        """Make sure that all ``keys`` are known."""
+        missing = keys.difference(self.known)
+        if len(self.known) + len(missing) > self.entries:
+            self.old, self.known = self.known, {}
+            missing = keys
+        if self.old:
+            again = missing.difference(missing.difference(self.old))  # looks up only what is missing, however much was known
+            self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            missing = missing.difference(again)
+        if missing:
+            new = list(missing)
+            self.known.update(zip(new, self.compute(new), strict=True))
+
+    def of(self, keys: list[bytes]) -> list:
+        """The values of ``keys``, in order."""
+        return self.of_texts([keys])[0]
+
+    def of_texts(self, split: list[list[bytes]]) -> list[list]:
+        """For each text, the values of its chunks: one look-up for each chunk, and a second one for new chunks."""
+        found: list[list] = []
+        new: set[bytes] = set()
+        gaps: list[tuple[list, list[bytes], list[int]]] = []
+        for chunks in split:
+            values = list(map(self.known.get, chunks))
+            found.append(values)
+            if None in values:
+                at = [k for k, value in enumerate(values) if value is None]
+                new.update([chunks[k] for k in at])
+                gaps.append((values, chunks, at))
+        if new:
+            self.fill(new)
+            known = self.known
+            for values, chunks, at in gaps:
+                for k in at:
+                    values[k] = known[chunks[k]]
+        return found
+
+
+class BulkMerger:
+    """Byte-pair merging of many pieces at once: each round merges every piece's lowest-rank pair, on whole arrays.
+
+    Pieces are byte strings of one pre-tokenized piece each. Pair ranks are in an open-addressing table, so that a lookup
+    is a few array reads.
+    """
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, path: str) -> None:
+        model = settings(path)["model"]
+        if model["type"] != "BPE" or any(model[key] for key in ("continuing_subword_prefix", "dropout", "ignore_merges", "byte_fallback", "unk_token")):
+            raise ValueError("a plain BPE model is asked for")
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        symbols = byte_symbols()
+        self.inner = np.array([vocab[symbol] for symbol in symbols], np.int64)
+        self.last = np.array([vocab[symbol + suffix] for symbol in symbols], np.int64)
+        pairs = [tuple(merge) if isinstance(merge, list) else tuple(merge.split(" ")) for merge in model["merges"]]
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.bits = max(4, len(pairs).bit_length() + 3)
+        size = 1 << self.bits
+        self.keys, self.ranks, self.probes = np.full(size, -1, np.int64), np.full(size, self.NONE, np.int32), 1
+        wanted = np.array([vocab[a] << 24 | vocab[b] for a, b in pairs], np.int64)
+        for rank, (key, at) in enumerate(zip(wanted.tolist(), self._slot(wanted).tolist(), strict=True)):
+            for probe in range(size):
+                place = (at + probe) & (size - 1)
+                if self.keys[place] in (-1, key):
+                    break
+            if self.keys[place] == -1:
+                self.keys[place], self.ranks[place] = key, rank
+            self.probes = max(self.probes, probe + 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; NONE where two symbols never merge."""
+        keys = a << 24 | b
+        at = self._slot(keys)
+        found = np.where(self.keys[at] == keys, self.ranks[at], self.NONE)
+        for probe in range(1, self.probes):
+            at = (at + 1) & (len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            if hit.any():
+                found = np.where(hit, self.ranks[at], found)
+        return found
+
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece."""
+        out: list[bytes] = [b""] * len(pieces)
+        by_length: dict[int, list[int]] = {}
+        for k, piece in enumerate(pieces):
+            by_length.setdefault(len(piece), []).append(k)
+        for length, rows in by_length.items():
+            if length:
+                for at in range(0, len(rows), max(1, 2_000_000 // length)):
+                    part = rows[at : at + max(1, 2_000_000 // length)]
+                    self._same_length(pieces, length, np.array(part), out)
+        return out
+
+    def _same_length(self, pieces: list[bytes], length: int, rows: np.ndarray, out: list[bytes]) -> None:
+        letters = np.frombuffer(b"".join([pieces[k] for k in rows.tolist()]), np.uint8).reshape(-1, length)
+        ids = self.inner[letters]
+        ids[:, -1] = self.last[letters[:, -1]]
+        ranks = self.rank(ids[:, :-1], ids[:, 1:]) if length > 1 else np.zeros((len(ids), 0), np.int32)
+        while len(rows):
+            width = ids.shape[1]
+            at = ranks.argmin(1) if width > 1 else np.zeros(len(rows), np.int64)
+            best = ranks[np.arange(len(rows)), at] if width > 1 else np.full(len(rows), self.NONE)
+            going = best != self.NONE
+            if not going.all():
+                ended = ~going
+                data, step = ids[ended].astype("<u4").tobytes(), 4 * width
+                for k, row in enumerate(rows[ended].tolist()):
+                    out[row] = data[k * step : (k + 1) * step]
+                rows, ids, ranks, at, best = rows[going], ids[going], ranks[going], at[going], best[going]
+                if not len(rows):
+                    return
+            here, places = np.arange(len(rows)), np.arange(width)
+            ids[here, at] = self.merged[best]
+            ids = ids[places[None, :] != at[:, None] + 1].reshape(len(rows), width - 1)
+            ranks = ranks[places[None, :-1] != at[:, None]].reshape(len(rows), width - 2)
+            left = at > 0
+            if left.any():
+                r, c = here[left], at[left]
+                ranks[r, c - 1] = self.rank(ids[r, c - 1], ids[r, c])
+            right = at < width - 2
+            if right.any():
+                r, c = here[right], at[right]
+                ranks[r, c] = self.rank(ids[r, c], ids[r, c + 1])
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(byte) if byte in plain else chr(next(others)) for byte in range(256)]
 
 
 class WordEncoder:
     """Packed ids of whole texts by a tokenizer that drops white space.
 
     ASCII white space always separates pieces, is never part of one, and composes with nothing under normalisation, so a
-    text's ids are those of its chunks one after the other.
+    text's ids are those of its chunks one after the other. Chunks of Latin letters, with one mark after them at most, are
+    two pieces at most, which are merged in bulk; the library encodes all other chunks.
     """
 
+    MARKS = b".,;:!?"
+
     def __init__(self, path: str) -> None:
         if not drops_white_space(path):
             raise ValueError("this tokenizer keeps white space")
         special_strings(path)
         self.tokenizer = library(path)
-        self.memo = Memo(self._encode)
+        self.memo = Memo(self._encode, 700_000)
+        self.pieces = Memo(BulkMerger(path))
+        probe = "\u00c0b\u00df\u00ff."
+        pieces = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(probe))]
+        symbols = byte_symbols()
+        self.plain = pieces == ["".join(symbols[byte] for byte in part.encode()) for part in ("\u00e0b\u00df\u00ff", ".")]
+
+    def _plain(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Which chunks are Latin letters, which are letters and a mark, and every chunk's letters in lower case.
+
+        In UTF-8 the letters beyond ASCII are byte 195 and a second byte; capitals have the second byte 32 lower.
+        """
+        joined = np.frombuffer(b"\n".join(chunks) + b"\n", np.uint8)
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        ends = np.cumsum(sizes + 1) - 1
+        starts = ends - sizes
+        capital = (joined >= 65) & (joined <= 90)
+        second = np.zeros(len(joined), bool)
+        second[1:] = (joined[:-1] == 0xC3) & (joined[1:] >= 0x80) & (joined[1:] < 0xC0) & (joined[1:] != 0x97) & (joined[1:] != 0xB7)
+        letter = capital | ((joined >= 97) & (joined <= 122)) | second
+        letter[:-1] |= second[1:]
+        lowered = joined + 32 * (capital | (second & (joined < 0x9F))).astype(np.uint8)
+        others = np.concatenate([[0], np.cumsum(~letter)])
+        others = others[ends] - others[starts]
+        short = sizes <= 40
+        marked = short & (others == 1) & (sizes > 1) & np.isin(joined[ends - 1], np.frombuffer(self.MARKS, np.uint8))
+        data = lowered.tobytes()
+        return short & (others == 0), marked, [data[a:b] for a, b in zip(starts.tolist(), (ends - marked).tolist(), strict=True)]
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        if not self.plain:
+            return self._by_library(chunks)
+        letters, marked, bodies = self._plain(chunks)
+        good = letters | marked
+        self.pieces.fill({body for body, use in zip(bodies, good.tolist(), strict=True) if use} | {bytes([mark]) for mark in self.MARKS})
+        known = self.pieces.known
+        rest = iter(self._by_library([chunk for chunk, use in zip(chunks, good.tolist(), strict=True) if not use]))
+        tails = {mark: known[bytes([mark])] for mark in self.MARKS}
+        kinds = (letters + 2 * marked).tolist()
+        return [known[body] if kind == 1 else known[body] + tails[chunk[-1]] if kind else next(rest) for chunk, body, kind in zip(chunks, bodies, kinds, strict=True)]
+
+    def _by_library(self, chunks: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch([chunk.decode("utf-8", "replace") for chunk in chunks], add_special_tokens=False)
         return [pack(each.ids) for each in found]
 
+    def batch(self, texts: list[bytes]) -> list[bytes]:
+        return [b"".join(found) for found in self.memo.of_texts([text.split() for text in texts])]
+
     def __call__(self, text: bytes) -> bytes:
-        return b"".join(self.memo.of(text.split()))
+        return self.batch([text])[0]
 
 
 @functools.lru_cache(maxsize=4)
