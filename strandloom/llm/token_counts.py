@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import batches_of, rows_of, small_batches, whole_text
+from strandloom.llm.common import small_batches, whole_text
 from strandloom.llm.tokens import Memo, drops_white_space, library, settings, special_strings
 
 PLAIN_ENDS = frozenset(b".,;:!?")
@@ -42,8 +42,8 @@ class MergeCounter:
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.by_chunk = drops_white_space(path)
         self.plain = self.by_chunk and self.normalise("aBc") == "abc"
-        self.pieces = Memo(lambda keys: [self.merge(key.decode()) for key in keys])
-        self.chunks = Memo(lambda keys: [self.chunk(key) for key in keys])
+        self.pieces = Memo(lambda keys: [self.merge(key.decode()) for key in keys], 500_000)
+        self.chunks = Memo(self.chunk_counts)
 
     def merge(self, piece: str) -> int:
         """Tokens of one pre-tokenized piece: initial symbols minus merges."""
@@ -80,24 +80,35 @@ class MergeCounter:
                 heapq.heappush(heap, (rank, leads))
         return n - merges
 
-    def chunk(self, chunk: bytes) -> int:
-        if self.plain and chunk.isalpha():
-            return self.pieces.of([chunk.lower()])[0]
-        if self.plain and chunk[-1:] and chunk[-1] in PLAIN_ENDS and chunk[:-1].isalpha():
-            return sum(self.pieces.of([chunk[:-1].lower(), chunk[-1:]]))
-        return self.text(chunk.decode("utf-8", "replace"))
-
-    def text(self, text: str) -> int:
+    def chunk_counts(self, chunks: list[bytes]) -> list[int]:
+        """Tokens of chunks between ASCII white space; plain letters, with one mark at most behind them, need no splitting."""
+        split = []
+        for chunk in chunks:
+            if self.plain and chunk.isalpha():
+                split.append((0, [chunk.lower()]))
+            elif self.plain and chunk[-1] in PLAIN_ENDS and chunk[:-1].isalpha():
+                split.append((0, [chunk[:-1].lower(), chunk[-1:]]))
+            else:
+                split.append(self.split_text(chunk.decode("utf-8", "replace")))
+        counts = self.pieces.of_texts([pieces for _, pieces in split])
+        return [specials + sum(found) for (specials, _), found in zip(split, counts, strict=True)]
+
+    def split_text(self, text: str) -> tuple[int, list[bytes]]:
+        """The number of special strings in a text, and the pieces of the rest."""
         count, at, parts = 0, 0, []
         for found in self.special.finditer(text) if self.special else ():
             parts.append(text[at : found.start()])
             count, at = count + 1, found.end()
         parts.append(text[at:])
-        pieces = [piece.encode() for part in parts if part for piece, _ in self.split(self.normalise(part))]
-        return count + sum(self.pieces.of(pieces))
+        return count, [piece.encode() for part in parts if part for piece, _ in self.split(self.normalise(part))]
 
-    def __call__(self, text: bytes) -> int:
-        return sum(self.chunks.of(text.split())) if self.by_chunk else self.text(text.decode("utf-8", "replace"))
+    def batch(self, texts: list[bytes]) -> list[int]:
+        """Token counts of whole texts."""
+        if self.by_chunk:
+            return [sum(found) for found in self.chunks.of_texts([text.split() for text in texts])]
+        split = [self.split_text(text.decode("utf-8", "replace")) for text in texts]
+        counts = self.pieces.of_texts([pieces for _, pieces in split])
+        return [specials + sum(found) for (specials, _), found in zip(split, counts, strict=True)]
 
 
 @functools.lru_cache(maxsize=4)
@@ -114,7 +125,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = merge_counter(tokenizer_path)
-        yield from batches_of(((key, len(text), count(text)) for key, text in rows_of(batches)), _COUNTED, 10_000)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            yield pa.record_batch([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(count.batch(texts), pa.int64())], schema=_COUNTED)
 
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), whole_text(docs[text_col]).cast("binary").alias("text"))
     counted = own.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
