@@ -45,7 +45,7 @@ def _hashes(words: list[bytes]) -> list[int]:
     return [short(word, 1) | short(_RUN.sub(rb"\1", word.translate(_CLASSES)), 2) << 32 for word in words]
 
 
-_memo = Memo(_hashes)
+_memo = Memo(_hashes, 100_000)
 
 
 def features(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
