@@ -1,6 +1,8 @@
 """The tools on streams.
 
-Extraction, filters and grooming depend on one record at a time: the batch functions take a streaming DataFrame as it is.
+Extraction, filters and grooming depend on one record at a time: the batch functions take a streaming DataFrame. Grooming is
+a deep expression, whose analysis overflowed a stream thread of default stack size when it was tried together with the
+folds below; groom before the stream, or give the driver a larger thread stack.
 Block compression and called regions keep state for each chromosome (an open block or range) between micro-batches, with
 ``applyInPandasWithState``. Records of a chromosome arrive in order; an end-of-chromosome row (``pos`` null) closes what is
 open, as no time bounds it.
