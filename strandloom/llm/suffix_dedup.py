@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import batches_of, marked_only, rows_of, small_batches, stored, whole_text
@@ -316,15 +316,16 @@ def repeated_ranges(docs: DataFrame, length: int = 200, bands: int = BANDS, id_c
     text = whole_text(docs[text_col])
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("hashed"), text.cast("binary").alias("text"))
     found = stored(own.mapInArrow(_find_runs(length), "doc_id long, hashed long, lead long, body long, at long, n int, d int, weight int, n_bytes long, whole string"), "runs", compression="zstd")
-    by_lead = Window.partitionBy("lead")
     met = found.filter("weight > 0").select("doc_id", "hashed", "lead", "body", "at", "n", "d", "weight")
-    met = met.withColumns({"total": F.sum("weight").over(by_lead), "mixed": F.min("body").over(by_lead) != F.max("body").over(by_lead)})
-    met = stored(met.filter("total > 1").drop("total"), "met", compression="zstd")
+    # sums by partial aggregation and a join, whose hot keys adaptive execution can split, rather than a window over a key
+    totals = met.groupBy(F.col("lead").alias("t_lead")).agg(F.sum("weight").alias("total"), (F.min("body") != F.max("body")).alias("mixed")).filter("total > 1")
+    met = stored(met.join(totals, F.col("lead") == F.col("t_lead")).drop("t_lead", "total"), "met", compression="zstd")
 
     of_doc = F.struct("doc_id", "hashed", "at", "n", "d")
     classes = met.filter("mixed").groupBy("lead", "body").agg(F.sum("weight").alias("count"), F.min(of_doc).alias("case"))
-    classes = stored(classes.withColumn("fewest", F.min("count").over(by_lead)), "classes", compression="zstd")
-    cases = classes.filter("fewest = 1").select("case.doc_id", "case.hashed", F.struct("case.at", "case.n", "case.d", "lead", "body", (F.col("count") == 1).alias("wanted")).alias("case"))
+    classes = stored(classes, "classes", compression="zstd")
+    open_leads = classes.filter("count = 1").select(F.col("lead").alias("o_lead")).distinct()
+    cases = classes.join(open_leads, F.col("lead") == F.col("o_lead"), "left_semi").select("case.doc_id", "case.hashed", F.struct("case.at", "case.n", "case.d", "lead", "body", (F.col("count") == 1).alias("wanted")).alias("case"))
     cases = cases.groupBy("doc_id", "hashed").agg(F.collect_list("case").alias("cases"))
     cases = stored(cases, "cases", compression="zstd").withColumnsRenamed({"doc_id": "c_id", "hashed": "c_hashed"})
     same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("hashed") == F.col("c_hashed"))
