@@ -1,0 +1,162 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, complete by prefix filtering.
+
+A text is the set of its word shingles' XXH64 hashes. With shingles in any order that is the same for all texts, two sets
+of similarity s share a shingle among their first ``n - ceil(s * n) + 1`` each. Texts that share such a shingle, and whose
+sizes allow the similarity, are compared shingle by shingle. Common shingles come last in the order, by their counts in a
+sample of texts; the sample decides only how many pairs are compared, not which ones are found.
+
+First every text meets the most typical text of each shared shingle, so a dense group of copies becomes one component at
+the cost of its size. Then texts in different components that share a shingle meet, those outside a shingle's largest
+component with all others. Pairs within a component need no comparison.
+
+Defined results: words are split at ASCII white space, A-Z lowered; a text of at most ``words`` words is one shingle; a
+null text counts as empty, which is one shingle too; equal sets are one node; identifiers as in :mod:`simhash`.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandloom.llm import simhash
+from strandloom.llm.common import batches_of, marked_only, rows_of, small_batches, stored, whole_text
+from strandloom.llm.decontaminate import bounded
+
+#: Texts whose shingles are counted for the order, about, and shingles of which the counts are kept.
+SAMPLE_TEXTS = 20_000
+COUNTED = 1 << 18
+#: The least similarity as a fraction.
+LEAST = (4, 5)
+
+
+def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    found = text.lower().split()
+    if len(found) <= words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found), seed)], np.uint64).view(np.int64)
+    hashed = xxhash.xxh64_intdigest
+    grams = map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False))
+    return np.unique(np.fromiter((hashed(gram, seed) for gram in grams), "<u8", len(found) - words + 1).view(np.int64))
+
+
+def _node(grams: np.ndarray) -> int:
+    value = xxhash.xxh64_intdigest(grams.tobytes())
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = whole_text(docs[text_col])
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("hashed"), text.cast("binary").alias("text"))
+
+
+def counts(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sample's most common shingles, sorted, and their counts."""
+    whole = texts.count()
+    sample = texts.filter(F.pmod("hashed", F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, SAMPLE_TEXTS / max(1, whole))) + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.record_batch([pa.array(shingles(text, words))], names=["gram"])
+
+    found = sample.select("text").mapInArrow(run, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    kept = found.filter("n > 1").orderBy(F.desc("n"), "gram").limit(COUNTED).toArrow()
+    grams, n = kept["gram"].to_numpy(), kept["n"].to_numpy()
+    order = np.argsort(grams)
+    return grams[order], n[order]
+
+
+def sets(texts: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
+    """One row for each text: ``doc_id, hashed, print`` (a hash of its set), ``n`` (its size), ``weight`` (how common its shingles are), ``prefix``."""
+    common, often = counts(texts, words)
+    schema = pa.schema([("doc_id", pa.int64()), ("hashed", pa.int64()), ("print", pa.int64()), ("n", pa.int64()), ("weight", pa.float64()), ("prefix", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes, weights, prefixes = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                grams = shingles(text, words)
+                held = np.zeros(len(grams), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+                    held = np.where(common[at] == grams, often[at], 0)
+                size = len(grams)
+                prints.append(_node(grams))
+                sizes.append(size)
+                weights.append(float(held.mean()))
+                first = np.argsort(held, kind="stable")[: size + 1 + -size * least[0] // least[1]]
+                prefixes.append(grams[first])
+            yield pa.record_batch([*batch.columns[:2], pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(weights, pa.float64()), pa.array(prefixes, pa.list_(pa.int64()))], schema=schema)
+
+    return texts.mapInArrow(run, "doc_id long, hashed long, print long, n long, weight double, prefix array<long>")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, prints: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
+    """Of distinct ``pairs`` of nodes ``a, b``, those whose sets have the similarity."""
+    nodes = stored(pairs.select(F.col("a").alias("of_node")).union(pairs.select(F.col("b").alias("of_node"))).distinct(), "shingle-nodes")
+    keys = prints.select("doc_id", "hashed", "print").join(bounded(nodes), F.col("print") == F.col("of_node")).groupBy("print").agg(F.min(F.struct("hashed", "doc_id")).alias("one"))
+    keys = stored(keys.select("one.doc_id", "one.hashed"), "shingle-keys")
+    marked = marked_only(texts, keys)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for (text,) in rows_of(batches):
+                grams = shingles(text, words)
+                yield _node(grams), grams.tobytes()
+
+        yield from batches_of(rows(), pa.schema([("node", pa.int64()), ("grams", pa.binary())]))
+
+    # texts that the bit map lets through and repeated sets go here, so each node has one row
+    found = marked.select("text").mapInArrow(hashes, "node long, grams binary")
+    found = stored(found.join(bounded(nodes), F.col("node") == F.col("of_node"), "left_semi").dropDuplicates(["node"]), "shingle-sets")
+    first, second = found.select(F.col("node").alias("node_a"), F.col("grams").alias("grams_a")), found.select(F.col("node").alias("node_b"), F.col("grams").alias("grams_b"))
+    met = pairs.join(first, F.col("a") == F.col("node_a")).join(second, F.col("b") == F.col("node_b")).select("a", "b", "grams_a", "grams_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(side.as_buffer(), np.int64) for side in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both * least[1] >= least[0] * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return stored(met.mapInArrow(compare, "a long, b long"), "shingle-links")
+
+
+def links(prints: DataFrame, texts: DataFrame, words: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Links ``a, b`` between nodes (``prints``) that connect all whose similarity is at least ``least``."""
+    entries = prints.select("print", "n", "weight", F.explode("prefix").alias("gram"))
+    middle = entries.groupBy("gram").agg(F.max(F.struct("weight", "print", "n")).alias("top"), F.min("print").alias("low"), F.max("print").alias("high"))
+    middle = stored(middle.filter("low <> high").select(F.col("gram").alias("of_gram"), F.col("top.print").alias("centre"), F.col("top.n").alias("centre_n")), "shingle-centres")
+    shared = stored(entries.join(bounded(middle), F.col("gram") == F.col("of_gram")).select("gram", "print", "n", "centre", "centre_n").distinct(), "shingle-shared")
+    near = lambda x, y: (F.least(x, y) * least[1]) >= (F.greatest(x, y) * least[0])
+
+    def paired(rows: DataFrame, x: str, y: str) -> DataFrame:
+        return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+    stars = stored(paired(shared.filter((F.col("print") != F.col("centre")) & near(F.col("n"), F.col("centre_n"))), "print", "centre"), "shingle-pairs")
+    found = _similar(stars, texts, prints, words, least)
+    roots = simhash.components(found)
+    own = shared.join(roots, F.col("print") == F.col("node"), "left").select("gram", "print", "n", F.coalesce("root", "print").alias("class"))
+    held = own.groupBy("gram", "class").agg(F.count(F.lit(1)).alias("held"))
+    largest = held.groupBy("gram").agg(F.max(F.struct("held", "class")).alias("top"), F.count(F.lit(1)).alias("classes"))
+    largest = largest.filter("classes > 1").select(F.col("gram").alias("of_gram"), F.col("top.class").alias("largest"))
+    own = stored(own.join(largest, F.col("gram") == F.col("of_gram")).select("gram", "print", "n", "class", "largest"), "shingle-apart")
+    rest = own.filter("class <> largest").select(F.col("gram").alias("at"), F.col("print").alias("x"), F.col("n").alias("x_n"), F.col("class").alias("x_class"))
+    met = rest.join(own, F.col("at") == F.col("gram")).filter((F.col("x_class") != F.col("class")) & ((F.col("class") == F.col("largest")) | (F.col("x") < F.col("print"))) & near(F.col("x_n"), F.col("n")))
+    others = paired(met, "x", "print").join(stars.select(F.col("a").alias("old_a"), F.col("b").alias("old_b")), (F.col("a") == F.col("old_a")) & (F.col("b") == F.col("old_b")), "left_anti")
+    return found.union(_similar(stored(others, "shingle-pairs"), texts, prints, words, least))
+
+
+def representatives(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns: the one with the smallest identifier."""
+    small_batches(docs.sparkSession)
+    texts = _texts(docs, id_col, text_col)
+    prints = stored(sets(texts, words, least), "shingle-prefixes")
+    return simhash.least_rows(docs, simhash.named(prints.select("doc_id", "hashed", "print"), links(prints, texts, words, least)), id_col, text_col)

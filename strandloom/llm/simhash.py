@@ -172,23 +172,34 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("root"))).distinct()
 
 
-def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: ``doc_id, fingerprint`` (16 lowercase hex digits), ``component_id`` (smallest identifier reachable),
-    ``hashed`` (of the text), ``class`` (the same value throughout a component)."""
-    prints = stored(fingerprints(docs, words, 42, id_col, text_col), "simhash-prints")
-    roots = components(links(prints, radius))
+def named(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows ``doc_id, hashed, print`` with ``component_id`` and ``class`` by links between values of ``print``."""
+    roots = components(edges)
     lowest = prints.groupBy("print").agg(F.min("doc_id").alias("lowest"))
     classes = lowest.join(roots, F.col("print") == F.col("node"), "left").select("print", "lowest", F.coalesce("root", "print").alias("class"))
     names = classes.groupBy("class").agg(F.min("lowest").alias("component_id")).select(F.col("class").alias("named"), "component_id")
     classes = classes.join(names, F.col("class") == F.col("named")).select(F.col("print").alias("of_print"), "component_id", "class")
     found = prints.join(classes, F.col("print") == F.col("of_print"))
+    return found.select("doc_id", "hashed", "print", "component_id", "class")
+
+
+def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each input row: ``doc_id, fingerprint`` (16 lowercase hex digits), ``component_id`` (smallest identifier reachable),
+    ``hashed`` (of the text), ``class`` (the same value throughout a component)."""
+    prints = stored(fingerprints(docs, words, 42, id_col, text_col), "simhash-prints")
+    found = named(prints, links(prints, radius))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "hashed", "class")
 
 
 def representatives(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component, with all its columns: the one with the smallest identifier."""
+    return least_rows(docs, near_groups(docs, words, radius, id_col, text_col), id_col, text_col)
+
+
+def least_rows(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each ``class`` of ``groups`` (``doc_id, hashed, class``): the one with the smallest identifier."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hashed")
-    stay = near_groups(docs, words, radius, id_col, text_col).groupBy("class").agg(F.min(order).alias("least"))
+    stay = groups.groupBy("class").agg(F.min(order).alias("least"))
     stay = stay.select(F.col("least.doc_id").alias("stay_id"), F.col("least.hashed").alias("stay_hashed")).distinct()
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("own_id"), F.xxhash64(whole_text(docs[text_col])).alias("own_hashed"))
     met = packed.join(stay, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_hashed") == F.col("stay_hashed")), "left_semi")

@@ -172,3 +172,55 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 300), (300, 200), (7, 7)]
     got = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert all(got[k] == 0 for k in range(41)) and got[200] == got[300] == got[100] == 100
+
+
+def brute_near(rows, words=5):
+    """The row that stays of each component, by comparing every pair of texts."""
+    sets = []
+    for _, text in rows:
+        found = (text or "").encode().lower().split()
+        sets.append({b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))})
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    best = {}
+    for k, row in enumerate(rows):
+        key = (row[0] is None, row[0] or 0)
+        best[root(k)] = min(best.get(root(k), key), key)
+    return sorted((None if no else key for no, key in best.values()), key=str)
+
+
+@pytest.mark.parametrize("sample", [20_000, 3])
+def test_near_stage_keeps_no_similar_pair(spark, monkeypatch, sample):
+    import corpus_pipeline
+    from strandloom.llm import shingles
+
+    monkeypatch.setattr(shingles, "SAMPLE_TEXTS", sample)
+    rnd = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(rnd.choices(vocabulary, k=rnd.randint(1, 90)))) for k in range(60)]
+    for key, text in rows[:60]:
+        for _ in range(rnd.randint(0, 4)):
+            edited = text.split()
+            for _ in range(rnd.randint(0, 3)):
+                edited[rnd.randrange(len(edited))] = rnd.choice(vocabulary)
+            rows.append((100 + len(rows), " ".join(edited)))
+    rows += [(1000 + k, f"{rows[0][1]} {rows[1][1]} a{k} b") for k in range(40)] + EDGE
+    rows = list(dict.fromkeys(rows))
+    got = corpus_pipeline.near_stage(spark, frame(spark, rows), "")
+    assert "digest" in got.columns
+    assert sorted((row["doc_id"] for row in got.collect()), key=str) == brute_near(rows)
+
+
+def test_near_stage_of_nothing(spark):
+    import corpus_pipeline
+
+    assert corpus_pipeline.near_stage(spark, frame(spark, EDGE).limit(0), "").count() == 0
