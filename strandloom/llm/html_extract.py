@@ -3,8 +3,8 @@
 Each page becomes a tree of block elements (inline markup and text stay inside their block; in wrappers, like siblings
 are one repeated node). Trees of the same host are aligned by simple tree matching and folded into a wrapper whose nodes know on
 how many pages they were, whether their own text was always the same, and how much varying text lies below them. Constant
-nodes are template. The host's content region is found from the varying slots: from the body down into the container that
-holds most of the varying text, past parts whose element, class or role says menu, header, footer, sidebar, notice,
+nodes are template. The host's content region is found from the varying slots: from the body down to the article or main element, or to the lowest
+container that holds all of the varying text, past parts whose element, class or role says menu, header, footer, sidebar, notice,
 advert, form or comments. A page is aligned with its host's wrapper again, and the varying slots of the region are its
 text.
 
@@ -39,6 +39,8 @@ RAW = frozenset("script style textarea title noscript iframe noembed noframes xm
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
 #: Elements that hold other blocks; the content region is one of these.
 CONTAINERS = frozenset("html body main article section div center table tbody tr td dl details".split())
+#: Elements that hold the main text; the search for the region ends there.
+ARTICLES = frozenset(("article", "main"))
 #: Elements and class, id or role words of what is not main text.
 NOISE_TAGS = frozenset("head nav footer aside form script style noscript template iframe svg button select textarea input dialog menu object title noembed noframes".split())
 NOISE_WORDS = frozenset(
@@ -217,6 +219,13 @@ def _varying(slot: Slot, pages: int) -> int:
     return own + sum(_varying(kid, pages) for kid in slot.kids)
 
 
+def _articles(slot: Slot, pages: int) -> int:
+    """The part of :func:`_varying` that lies in article and main elements."""
+    if slot.noise or slot.tag in ARTICLES:
+        return _varying(slot, pages)
+    return sum(_articles(kid, pages) for kid in slot.kids)
+
+
 def _template(slot: Slot, pages: int) -> bool:
     return pages >= TEMPLATE_PAGES and slot.pages >= TEMPLATE_PAGES and slot.pages * 2 > pages and slot.same >= 0
 
@@ -224,10 +233,10 @@ def _template(slot: Slot, pages: int) -> bool:
 def rules(wrapper: Slot) -> tuple[list[str], list[list[str]]]:
     """Labels from the root to the content region, and the label paths below it that are template."""
     pages, path, slot = wrapper.pages, [], wrapper
-    while True:
+    while slot.tag not in ARTICLES:
         whole = _varying(slot, pages)
-        inner = [kid for kid in slot.kids if kid.tag in CONTAINERS and not kid.noise and _varying(kid, pages) * 10 >= whole * 9 and whole]
-        named = [kid for kid in slot.kids if kid.tag in ("article", "main") and not kid.noise and _varying(kid, pages)]
+        inner = [kid for kid in slot.kids if kid.tag in CONTAINERS and not kid.noise and whole and (_varying(kid, pages) == whole or _articles(kid, pages) * 2 > whole)]
+        named = [kid for kid in slot.kids if kid.tag in ARTICLES and not kid.noise and _varying(kid, pages)]
         if len(named) == 1 and sum(kid.label == named[0].label for kid in slot.kids) == 1:
             inner = named
         if not inner:

@@ -152,3 +152,18 @@ def test_sql(spark, name):
     columns = sorted(got.columns)
     want = con.execute(queries.oracle_sql()[name]).df()[columns]
     assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(map(tuple, want.itertuples(index=False)), key=str)
+
+
+def texts_of(pages):
+    wrapper = None
+    for page in pages:
+        wrapper = html_extract.folded(wrapper, html_extract.skeleton(html_extract.parse(page)))
+    return [html_extract.extract(page, *html_extract.rules(wrapper)) for page in pages]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_extraction_keeps_what_lies_beside_a_nested_body(n):
+    inner = "<h1>Title {k}</h1><div class=lead>lead {k}</div><div class=entry>" + "long body {k} " * 40 + "</div>"
+    want = lambda k: f"Title {k}\nlead {k}\n" + " ".join([f"long body {k}"] * 40)
+    for page in ("<article>" + inner + "</article>", "<div class=wrap><nav>n{k}</nav><main><h1>Title {k}</h1><div class=lead>lead {k}</div><article>" + "long body {k} " * 40 + "</article></main></div>", "<div class=post>" + inner + "</div>", "<div><div><article>" + inner + "</article></div><div>other {k}</div></div>"):
+        assert texts_of([f"<body>{page}</body>".replace("{k}", f"v{k}") for k in range(n)]) == [want(f"v{k}") for k in range(n)]
