@@ -70,12 +70,11 @@ def with_locus(records: DataFrame) -> DataFrame:
     return records.withColumns({"is_indel": indel, "n_sites": sites, "locus_end": F.col("pos") + F.greatest(sites, F.lit(1)) - 1})
 
 
-def order_conflicts(records: DataFrame) -> DataFrame:
+def order_conflicts(records: DataFrame, width: int = ordered.BIN) -> DataFrame:
     """Rows of :func:`with_locus` that do not come after the row before them (of their sample and chromosome)."""
-    window = Window.partitionBy("sample_id", "chrom", F.floor(F.col("pos") / ordered.BIN)).orderBy("line_no")
     here = F.struct(F.col("locus_end"), F.col("is_indel"))
-    before = F.lag(here).over(window)
-    return records.withColumn("_before", before).filter(F.col("_before").isNotNull() & (F.struct("pos", "is_indel") <= F.col("_before"))).drop("_before")
+    found = ordered.last_before(records, ["sample_id", "chrom"], "line_no", ["line_no"], here, "_before", width)
+    return found.filter(F.col("_before").isNotNull() & (F.struct("pos", "is_indel") <= F.col("_before"))).select(*records.columns)
 
 
 def murdock(records: DataFrame, width: int = ordered.BIN) -> DataFrame:

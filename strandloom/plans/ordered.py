@@ -8,13 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Positions of a bin.
 BIN = 1 << 16
 
 
 def binned(df: DataFrame, place: str, width: int = BIN) -> DataFrame:
-    return df.withColumn("_bin", F.floor(F.col(place) / width))
+    """``df`` with its rows' bins; of a struct, such as a line's place in a file, the last field is cut."""
+    kind, at = df.schema[place].dataType, F.col(place)
+    if isinstance(kind, StructType):
+        *first, last = kind.names
+        return df.withColumn("_bin", F.struct(*[at[name].alias(name) for name in first], F.floor(at[last] / width).alias(last)))
+    return df.withColumn("_bin", F.floor(at / width))
 
 
 def _before(df: DataFrame, by: list[str], order: list[Column | str], name: str, total, add, width: int, place: str) -> DataFrame:

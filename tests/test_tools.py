@@ -1,6 +1,7 @@
 """Small fixtures worked out by hand, from files to files."""
 
 import glob
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +200,24 @@ def test_command_line(spark, tmp_path):
     assert read(tmp_path / "m")[-1] == "chr1\t5\t.\tA\tG\t.\tPASS\t.\tGT:GQ:DP\t0/1:60:30\t1/0:60:30"
     cli.main(["get_called_regions", source, str(tmp_path / "k")], spark)
     assert read(tmp_path / "k") == ["chr1\t4\t5"]
+
+
+def test_order_conflicts_reach_over_bins(spark):
+    rnd = random.Random(7)
+    rows, pos = [], 0
+    for k in range(300):
+        pos += rnd.choice((1, 4, 4, 90, 70_000))
+        at = max(1, pos - (200_000 if rnd.random() < 0.05 else 0))
+        rows.append((k % 2, "chr1" if k < 200 else "chr2", k, at, at + rnd.choice((0, 3, 100, 80_000)), rnd.random() < 0.2))
+    want, last = [], {}
+    for sample, chrom, k, at, end, indel in rows:
+        before = last.get((sample, chrom))
+        if before and (at, indel) <= before:
+            want.append(k)
+        last[sample, chrom] = (end, indel)
+    df = spark.createDataFrame(rows, "sample_id int, chrom string, line_no long, pos long, locus_end long, is_indel boolean").repartition(3)
+    assert want
+    placed = df.withColumn("line_no", F.struct(F.floor(F.col("line_no") / 100).alias("start"), F.col("line_no").alias("row")))
+    for width in (7, 1 << 16):
+        assert sorted(r["line_no"] for r in sites.order_conflicts(df, width).collect()) == want
+        assert sorted(r["line_no"]["row"] for r in sites.order_conflicts(placed, width).collect()) == want
