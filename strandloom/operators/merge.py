@@ -16,11 +16,16 @@ def _codes(alleles: Column, own: Column) -> Column:
 
 
 def loci(records: DataFrame, reference: DataFrame, options: S.CallOptions = S.CallOptions(), exclude: list[str] | None = None, region: tuple[str, int | None, int | None] | None = None, drop_overlaps: bool = False) -> DataFrame:
-    """One row for each position and kind (``chrom, pos, is_indel, ref_base``) with ``samples``: what each sample has there, by sample."""
+    """One row for each position and kind (``chrom, pos, is_indel, ref_base``) with ``samples``: what each sample has there, by sample.
+
+    Unordered or overlapping records are an error unless they are dropped.
+    """
     records = S.on_reference(S.without_chromosomes(records, exclude or []), reference)
     if drop_overlaps:
         names = records.columns
         records = S.murdock(S.with_locus(records)).select(*names)
+    else:
+        S.refuse_conflicts(S.with_locus(records), region)
     found = S.expanded(records, ref.standardized(reference), options, indels=True, region=region)
     own = F.struct("sample_id", "called", "alleles", "ref", "filter", "format", "sample")
     return found.groupBy("chrom", F.col("site_pos").alias("pos"), "is_indel").agg(F.first("ref_base").alias("ref_base"), F.array_sort(F.collect_list(own)).alias("samples"))

@@ -77,6 +77,18 @@ def order_conflicts(records: DataFrame, width: int = ordered.BIN) -> DataFrame:
     return found.filter(F.col("_before").isNotNull() & (F.struct("pos", "is_indel") <= F.col("_before"))).select(*records.columns)
 
 
+def refuse_conflicts(records: DataFrame, region: tuple[str, int | None, int | None] | None = None) -> None:
+    """Raise on the first of :func:`order_conflicts` in the rows of :func:`with_locus` that reach into the region."""
+    if region:
+        chrom, low, high = region
+        records = records.filter(F.col("chrom") == chrom)
+        records = records if low is None else records.filter(F.col("locus_end") >= low)
+        records = records if high is None else records.filter(F.col("pos") <= high)
+    bad = order_conflicts(records.select("sample_id", "chrom", "line_no", "pos", "is_indel", "locus_end")).orderBy("sample_id", "line_no").first()
+    if bad:
+        raise ValueError(f"unexpected position order in sample {bad['sample_id']}: {bad['chrom']}:{bad['pos']} does not come after the record before it")
+
+
 def murdock(records: DataFrame, width: int = ordered.BIN) -> DataFrame:
     """Rows of :func:`with_locus` that begin after the last kept row's end; the rest are dropped.
 

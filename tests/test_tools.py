@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom import cli
-from strandloom.operators import blocks, filters, intervals, merge, sites
+from strandloom.operators import blocks, concordance, filters, intervals, merge, sites
 from strandloom.sources import reference as ref
 from strandloom.sources import regions, vcf
 
@@ -221,3 +221,13 @@ def test_order_conflicts_reach_over_bins(spark):
     for width in (7, 1 << 16):
         assert sorted(r["line_no"] for r in sites.order_conflicts(df, width).collect()) == want
         assert sorted(r["line_no"]["row"] for r in sites.order_conflicts(placed, width).collect()) == want
+
+
+def test_overlaps_are_refused_unless_dropped(spark):
+    genome = ref.from_sequences(spark, {"chr1": "ACGTAACCGT"})
+    both = [records(spark, *rows, tool="multi").withColumn("sample_id", F.lit(k)) for k, rows in enumerate([("chr1 1 . A . . PASS END=6 GT:DP 0/0:9", "chr1 5 . A G . PASS . GT:DP 0/1:20"), ("chr1 1 . A . . PASS END=10 GT:DP 0/0:9",)])]
+    rows = both[0].unionByName(both[1])
+    for tool in (lambda **choices: merge.loci(rows, genome, **choices), lambda **choices: concordance.twins(rows, genome, **choices)[0]):
+        with pytest.raises(ValueError, match="sample 0: chr1:5"):
+            tool()
+        assert tool(drop_overlaps=True).count() == tool(region=("chr1", 7, 10)).count() + 6
