@@ -251,7 +251,8 @@ def rules(wrapper: Slot) -> tuple[list[str], list[list[str]]]:
                 found.append([*below, kid.label])
             walk(kid, [*below, kid.label])
 
-    if pages >= TEMPLATE_PAGES and any(kid.same < 0 for kid in slot.kids):
+    # an article's constant parts are its text
+    if slot.tag not in ARTICLES and pages >= TEMPLATE_PAGES and any(kid.same < 0 for kid in slot.kids):
         walk(slot, [])
     return path, found
 

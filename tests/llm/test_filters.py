@@ -167,3 +167,9 @@ def test_extraction_keeps_what_lies_beside_a_nested_body(n):
     want = lambda k: f"Title {k}\nlead {k}\n" + " ".join([f"long body {k}"] * 40)
     for page in ("<article>" + inner + "</article>", "<div class=wrap><nav>n{k}</nav><main><h1>Title {k}</h1><div class=lead>lead {k}</div><article>" + "long body {k} " * 40 + "</article></main></div>", "<div class=post>" + inner + "</div>", "<div><div><article>" + inner + "</article></div><div>other {k}</div></div>"):
         assert texts_of([f"<body>{page}</body>".replace("{k}", f"v{k}") for k in range(n)]) == [want(f"v{k}") for k in range(n)]
+
+
+def test_extraction_keeps_constant_headings():
+    for n in (1, 2, 3, 5):
+        pages = [f"<body><article><h1>Title {k}</h1><h2>Summary</h2><p>text {k}</p></article></body>" for k in range(n)]
+        assert texts_of(pages) == [f"Title {k}\nSummary\ntext {k}" for k in range(n)]
