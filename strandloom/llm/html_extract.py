@@ -54,7 +54,7 @@ _HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 #: Of unclosed elements, which ones a start tag ends.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Levels of a tree; what is nested deeper stays at this level.
+#: Levels of a tree; the text of elements nested deeper belongs to the element at this level, but for noise.
 DEPTH = 150
 #: Varying pages from which on a text that is always the same is template.
 TEMPLATE_PAGES = 3
@@ -82,6 +82,12 @@ def parse(page: str) -> Block:
     """The page's tree of block elements."""
     root = Block("html")
     stack, at, size = [root], 0, len(page)
+
+    def close(k: int) -> None:
+        if len(stack) > DEPTH:  # the text after a deep element is a line of its own
+            stack[-1].parts.append(Block(stack[-1].tag))
+        del stack[k:]
+
     while at < size:
         found = _TOKEN.search(page, at)
         if not found:
@@ -101,7 +107,7 @@ def parse(page: str) -> Block:
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in ("table", "article", "body") and tag in ("p", "li", "td", "tr"):
                     break
@@ -109,16 +115,19 @@ def parse(page: str) -> Block:
         if tag in ("html", "body", "head") and any(block.tag == tag for block in stack):
             continue
         if tag == "body":
-            del stack[1:]
+            close(1)
         while len(stack) > 1 and (stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or stack[-1].tag in _ENDS.get(tag, ())):
-            stack.pop()
+            close(len(stack) - 1)
         words = frozenset(_WORD.findall(" ".join(filter(None, (m[2] or m[3] or m[4] for m in _ATTRIBUTE.finditer(attributes)))).lower())) if "=" in attributes else frozenset()
         block = Block(tag, words, bool(attributes) and bool(_HIDDEN.search(attributes)))
         stack[-1].parts.append(block)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
-        elif tag not in VOID and not attributes.endswith("/") and len(stack) < DEPTH:
+        elif tag not in VOID and not attributes.endswith("/"):
+            if len(stack) >= DEPTH and not block.noise:
+                block = Block(tag)
+                block.parts = stack[-1].parts
             stack.append(block)
     return root
 

@@ -173,3 +173,9 @@ def test_extraction_keeps_constant_headings():
     for n in (1, 2, 3, 5):
         pages = [f"<body><article><h1>Title {k}</h1><h2>Summary</h2><p>text {k}</p></article></body>" for k in range(n)]
         assert texts_of(pages) == [f"Title {k}\nSummary\ntext {k}" for k in range(n)]
+
+
+def test_extraction_below_the_deepest_level():
+    deep = 400
+    page = "<body><article><div>" + "<div>" * deep + "<div>inner</div><div class=ads>bad<div>worse</div></div>rest" + "</div>" * deep + "</div><p>after</p></article><div class=nav>menu</div></body>"
+    assert texts_of([page]) == ["inner\nrest\nafter"]
