@@ -198,12 +198,17 @@ def brute_near(rows, words=5):
     return sorted((None if no else key for no, key in best.values()), key=str)
 
 
-@pytest.mark.parametrize("sample", [20_000, 3])
-def test_near_stage_keeps_no_similar_pair(spark, monkeypatch, sample):
+@pytest.mark.parametrize("small", [False, True])
+def test_near_stage_keeps_no_similar_pair(spark, monkeypatch, small):
     import corpus_pipeline
-    from strandloom.llm import shingles
-
-    monkeypatch.setattr(shingles, "SAMPLE_TEXTS", sample)
+    from strandloom.llm import simhash_sets
+
+    if small:  # many parts of tiles and of cases, and few entries of inverted lists at a time
+        monkeypatch.setattr(simhash_sets.candidate_links, "__defaults__", ((4, 5), 7))
+        monkeypatch.setattr(simhash_sets.similar_groups, "__defaults__", (5, (4, 5), "doc_id", "text", 7, 3000))
+        monkeypatch.setattr(simhash_sets, "LISTED", 9)
+        monkeypatch.setattr(simhash_sets, "MOST_VISITORS", 5)
+        monkeypatch.setattr(simhash_sets, "BLOCK", 3)
     rnd = random.Random(5)
     vocabulary = [f"w{k}" for k in range(300)]
     rows = [(k, " ".join(rnd.choices(vocabulary, k=rnd.randint(1, 90)))) for k in range(60)]
