@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe_tree, decontaminate, exact_dedup, quality, shingles
+from strandloom.llm import bpe_tree, decontaminate, exact_dedup, quality, simhash_sets
 from strandloom.llm.common import stored, table
 from strandloom.llm.queries import BYTES, tokenizer
 
@@ -25,8 +25,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles of Jaccard similarity 0.8 or more, the one with the smallest doc_id."""
-    return shingles.representatives(docs, words=5, least=(4, 5))
+    """Of documents that SimHash finds and whose five-word shingles have a Jaccard similarity of 0.8 or more, the one with the smallest doc_id."""
+    return simhash_sets.representatives(docs, words=5, least=(4, 5))
 
 
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("quality classifier", quality_stage),
     ("exact dedup", exact_stage),
-    ("shingle near-dedup", near_stage),
+    ("simhash near-dedup", near_stage),
     ("benchmark decontamination", clean_stage),
     ("bpe encoding and decoding", encode_stage),
 ]
