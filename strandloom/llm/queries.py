@@ -29,19 +29,27 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 OP6_SQL = """
-WITH e(list_name, kind, pattern, action, dated) AS (VALUES
-%s),
-v AS (SELECT list_name, kind, pattern, action, dated, lead(dated) OVER (PARTITION BY list_name, kind, pattern ORDER BY dated, action DESC) AS until FROM e),
-c AS (SELECT DISTINCT page_id, url, epoch(TIMESTAMP '2024-01-01') + (page_id * 7919 %% 525600) * 60 AS fetched FROM pages),
+WITH c AS (SELECT DISTINCT page_id, url, 1704067200 + (page_id * 7919 %% 525600) * 60 AS fetched FROM pages),
 h AS (SELECT *, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS authority, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1) AS path FROM c),
-g AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(authority, '^.*@', '')), ':[0-9]*$', ''), '[.]+$', '') AS host FROM h),
+g AS (SELECT *, regexp_replace(regexp_replace(translate(regexp_replace(authority, '^.*@', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':[0-9]*$', ''), '[.]+$', '') AS host FROM h),
+f AS (SELECT page_id, host, array_to_string(string_split(host, '.')[-2:], '.') AS parent, split_part(path, '/', 2) AS seg FROM g WHERE host <> ''),
+t AS (SELECT 'hosts' AS list_name, 'host' AS kind, host AS pattern, min(page_id) AS i, 30 AS days FROM f GROUP BY host
+  UNION ALL SELECT 'domains', 'domain', parent, min(page_id), 10 FROM f GROUP BY parent
+  UNION ALL SELECT 'paths', 'prefix', host || '/' || seg, min(page_id), 60 FROM f WHERE seg <> '' GROUP BY host, seg),
+x(list_name, kind, pattern, action, dated) AS (VALUES
+%s),
+e AS (SELECT list_name, kind, pattern, action, epoch(CAST(dated AS TIMESTAMP)) AS dated FROM x
+  UNION ALL SELECT list_name, kind, pattern, 'add', 1704067200 + (i * 104729 %% 525600) * 60 FROM t
+  UNION ALL SELECT list_name, kind, pattern, 'remove', 1704067200 + (i * 104729 %% 525600) * 60 + days * 86400 FROM t),
+n AS (SELECT list_name, kind, regexp_replace(pattern, '[./]+$', '') AS pattern, action, dated FROM e),
+v AS (SELECT *, lead(dated) OVER (PARTITION BY list_name, kind, pattern ORDER BY dated, action DESC) AS until FROM n WHERE dated IS NOT NULL AND pattern <> ''),
 k AS (SELECT page_id, url, fetched, 'host' AS kind, host AS key FROM g
   UNION ALL SELECT page_id, url, fetched, 'domain', unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) FROM g
   UNION ALL SELECT page_id, url, fetched, 'prefix', unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: host || array_to_string(string_split(path, '/')[1:i], '/'))) FROM g),
 m AS (SELECT k.page_id, k.url, k.fetched, count(*) AS n_active, string_agg(DISTINCT v.list_name, ',' ORDER BY v.list_name) AS lists
-  FROM k JOIN v ON k.kind = v.kind AND k.key = v.pattern AND v.action = 'add' AND k.fetched >= epoch(CAST(v.dated AS TIMESTAMP)) AND (v.until IS NULL OR k.fetched < epoch(CAST(v.until AS TIMESTAMP)))
+  FROM k JOIN v ON k.kind = v.kind AND k.key = v.pattern AND v.action = 'add' AND k.fetched >= v.dated AND (v.until IS NULL OR k.fetched < v.until)
   GROUP BY ALL)
-SELECT p.page_id, p.url, CAST(epoch(TIMESTAMP '2024-01-01') + (p.page_id * 7919 %% 525600) * 60 AS BIGINT) AS fetched, coalesce(m.n_active, 0) AS n_active, coalesce(m.lists, '') AS lists, m.n_active IS NOT NULL AS blocked
+SELECT p.page_id, p.url, CAST(1704067200 + (p.page_id * 7919 %% 525600) * 60 AS BIGINT) AS fetched, coalesce(m.n_active, 0) AS n_active, coalesce(m.lists, '') AS lists, m.n_active IS NOT NULL AS blocked
 FROM pages p LEFT JOIN m ON p.page_id IS NOT DISTINCT FROM m.page_id AND p.url IS NOT DISTINCT FROM m.url
 """ % ",\n".join(str(entry) for entry in url_filter.EXAMPLE_ENTRIES)
 
@@ -99,11 +107,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page against the example list; fetch times are derived from page_id, as pages have none."""
+    """Every page against the fixed entries and a list derived from all pages; fetch times are derived from page_id, as pages have none."""
     pages = table(spark, sf_dir, "pages")
     fetched = F.lit(1_704_067_200) + F.col("page_id") * 7919 % 525_600 * 60
     captures = pages.select("page_id", "url", F.timestamp_seconds(fetched).alias("fetched"))
-    entries = url_filter.entries_frame(spark, url_filter.EXAMPLE_ENTRIES)
+    entries = url_filter.entries_frame(spark, url_filter.EXAMPLE_ENTRIES).union(url_filter.entries_of(pages))
     found = url_filter.verdicts(captures, entries, time_col="fetched")
     return found.select("page_id", "url", F.unix_seconds("fetched").alias("fetched"), "n_active", "lists", "blocked")
 

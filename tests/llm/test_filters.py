@@ -1,6 +1,8 @@
 """Quality, extraction, URL lists, decontamination and the pipeline."""
 
+import random
 import re
+import time
 import zlib
 
 import pytest
@@ -66,6 +68,21 @@ def test_url_lists(spark):
     assert url_filter.verdicts(df, entries.limit(0)).filter("blocked").count() == 0
 
 
+def test_url_list_edges(spark):
+    """Entries of one date, null dates and patterns, paths with capitals, very long URLs, and no captures."""
+    day = "2024-01-10 00:00:00"
+    listed = [("l", "domain", "one.org", "remove", day), ("l", "domain", "one.org", "add", day), ("m", "prefix", "TWO.org/Path/", "add", day), ("n", "domain", "d.e.f.g.org", "add", day), ("p", "prefix", "long.org" + "/a" * 3, "add", day)]
+    undated = "l string, k string, p string, a string, d timestamp"
+    entries = url_filter.entries_frame(spark, listed).union(spark.createDataFrame([("x", "host", "three.org", "add", None), ("x", "host", None, "add", None)], undated))
+    rows = [(1, "http://one.org/", True), (2, "http://two.org/Path/x", True), (3, "http://two.org/path/x", False), (4, "http://three.org", False), (5, "http://c.d.e.f.g.org", True), (6, "http://f.g.org", False)]
+    rows += [(7, "http://long.org" + "/a" * 500_000, True), (8, "http://" + "a." * 50_000 + "one.org", True), (9, "http://long.org/a/a", False), (10, "", False), (11, "not a url", False)]
+    df = spark.createDataFrame([row[:2] for row in rows], "id long, url string").select("id", "url", F.lit("2024-01-15").cast("timestamp").alias("fetched"))
+    began = time.perf_counter()
+    assert sorted((row["id"], row["blocked"]) for row in url_filter.verdicts(df, entries).select("id", "blocked").collect()) == [(row[0], row[2]) for row in rows]
+    assert time.perf_counter() - began < 30
+    assert url_filter.verdicts(df.limit(0), entries).count() == 0 == url_filter.allowed(df.limit(0), entries).count()
+
+
 def brute_hits(docs, items, window=10):
     split = lambda text: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     out = []
@@ -155,10 +172,16 @@ def test_sql(spark, name):
 
 
 def texts_of(pages):
-    wrapper = None
+    """The main texts of one host's pages, without Spark."""
+    first = list(dict.fromkeys(pages))[: html_extract.SEEDS]
+    order = html_extract.unpacked(html_extract.packed(html_extract.medoid([html_extract.skeleton(html_extract.parse(page)) for page in first])))
+    place, sums = {id(node): k for k, node in enumerate(order)}, {}
     for page in pages:
-        wrapper = html_extract.folded(wrapper, html_extract.skeleton(html_extract.parse(page)))
-    return [html_extract.extract(page, *html_extract.rules(wrapper)) for page in pages]
+        for node, other in html_extract.aligned(order[0], html_extract.skeleton(html_extract.parse(page))):
+            n, low, high, size = sums.get(place[id(node)], (0, other.same, other.same, 0))
+            sums[place[id(node)]] = n + 1, min(low, other.same), max(high, other.same), size + other.size
+    region, template = html_extract.rules(order, sums)
+    return [html_extract.extract(html_extract.parse(page), order, region, template) for page in pages]
 
 
 @pytest.mark.parametrize("n", [1, 2, 5])
@@ -175,7 +198,80 @@ def test_extraction_keeps_constant_headings():
         assert texts_of(pages) == [f"Title {k}\nSummary\ntext {k}" for k in range(n)]
 
 
-def test_extraction_below_the_deepest_level():
-    deep = 400
-    page = "<body><article><div>" + "<div>" * deep + "<div>inner</div><div class=ads>bad<div>worse</div></div>rest" + "</div>" * deep + "</div><p>after</p></article><div class=nav>menu</div></body>"
-    assert texts_of([page]) == ["inner\nrest\nafter"]
+@pytest.mark.parametrize("deep", [100, 160, 5000])
+def test_extraction_at_any_depth(deep):
+    inner = "<div>inner</div><div class=ads>bad<div>worse</div></div><nav>MENU</nav>rest"
+    page = "<body><article><div>" + "<div>" * deep + inner + "</div>" * deep + "</div><p>after</p></article><div class=nav>menu</div></body>"
+    assert texts_of([page, page.replace("inner", "other")]) == ["inner\nrest\nafter", "other\nrest\nafter"]
+    assert texts_of(["first" + "<div>" * deep + "<nav>MENU TEXT</nav>" + "</div>" * deep + "after"]) == ["first\nafter"]
+
+
+def test_matching_takes_polynomial_time():
+    """Chains of two pages that differ at every level, with like nodes on both sides."""
+    chain = lambda names: "".join(f"<div class={x}></div><div class=b>" for x in names) + "end"
+    one, two = (html_extract.skeleton(html_extract.parse(chain(names))) for names in (["c", "d"] * 100, ["d", "b"] * 100))
+    began = time.perf_counter()
+    assert html_extract.aligned(one, two)
+    assert time.perf_counter() - began < 1
+    long = "".join(f"<h2>{k}</h2><p>{k}</p><ul><li>{k}</li></ul>" for k in range(300))
+    one, two = html_extract.skeleton(html_extract.parse("<div></div>" + long)), html_extract.skeleton(html_extract.parse(long + "<div></div>"))
+    assert len(html_extract.aligned(one, two)) >= 1200
+
+
+def brute_matching(a, b):
+    """The most pairs of simple tree matching, by its recursive definition."""
+    if (a.label, a.noise) != (b.label, b.noise):
+        return 0
+    best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids, 1):
+        for j, y in enumerate(b.kids, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + brute_matching(x, y))
+    return best[-1][-1] + 1
+
+
+def test_matching_is_the_largest():
+    rnd = random.Random(8)
+
+    def tree(depth):
+        slot = html_extract.Slot("div", rnd.choice("ab"), False)
+        slot.kids = [tree(depth - 1) for _ in range(rnd.randint(0, 3))] if depth else []
+        return slot
+
+    for _ in range(300):
+        one, two = tree(3), tree(3)
+        one.label = two.label = "a"
+        pairs = html_extract.aligned(one, two)
+        assert all(x.label == y.label for x, y in pairs)
+        # like ends are paired at once, which can only cost pairs below them
+        assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs) <= brute_matching(one, two)
+
+
+def test_extraction_judges_inline_and_weak_words():
+    page = "<body><article><h1>Title {k}</h1><p>text {k} <span class='advert'>BUY <span>NOW</span></span>goes on</p><div class='legal related'><p>A body paragraph {k}.</p></div><div class='related'>See <a href=x>another page {k}</a> <a href=y>and more</a></div></article><div class=legal>terms {k}</div></body>"
+    for n in (1, 3):
+        assert texts_of([page.replace("{k}", str(k)) for k in range(n)]) == [f"Title {k}\ntext {k} goes on\nA body paragraph {k}." for k in range(n)]
+
+
+def test_extraction_without_articles():
+    """Varying slots are content and constant nodes are template, whatever they are called."""
+    page = "<body><div id=top><p>Our Site</p></div><div><div class=x1><p>All rights kept</p><p>since ever</p></div><div class=x2><h1>Title {k}</h1><h2>Summary</h2><p>text {k}</p>{extra}</div></div></body>"
+    for n in (2, 3, 8):
+        pages = [page.replace("{k}", f"v{k}").replace("{extra}", "<p>more</p>" * (k % 3)) for k in range(n)]
+        assert texts_of(pages) == ["\n".join([f"Title v{k}", "Summary", f"text v{k}"] + ["more"] * (k % 3)) for k in range(n)]
+    # two regions that vary, with a constant one between them
+    page = "<body><div class=a><p>left {k}</p></div><div class=b><p>same</p></div><div class=c><p>right {k}</p></div></body>"
+    assert texts_of([page.replace("{k}", str(k)) for k in range(4)]) == [f"left {k}\nright {k}" for k in range(4)]
+    # equal pages tell nothing apart
+    assert texts_of(["<body><div><p>a</p></div><p>b</p></body>"] * 3) == ["a\nb"] * 3
+
+
+def test_extraction_does_not_depend_on_partitions(spark):
+    rnd = random.Random(9)
+    rows = []
+    for k in range(120):
+        parts = [f"<div class=box{rnd.choice('abc')}><p>{rnd.choice(('same', f'v{k}'))}</p></div>" for _ in range(rnd.randint(0, 5))]
+        rows.append((k, f"http://h{k % 3}/", "<body><div class=c><h1>T{k}</h1></div>" + "".join(parts)))
+    rows += rows[:5] + [(200, "http://h1/", None)]
+    found = [sorted(map(tuple, html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)).collect())) for n in (1, 3, 50)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    assert html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).count() == 0
