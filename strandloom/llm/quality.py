@@ -5,8 +5,8 @@ digits and other characters as classes, runs squeezed); a pair of equal words is
 word. Each is hashed to one of ``2**bits`` weights and counted; the counts are scaled to length one. A score is the
 sigmoid of the sparse dot product with the weights, so it depends on the text alone.
 
-Training takes at most ``train_rows`` labelled rows, those with the smallest hash of their identifier: a documented,
-bounded sample, in one task. The weights (``8 * 2**bits`` bytes at most) are broadcast; scoring is a single pass over all
+Training takes at most ``train_rows`` labelled rows, those with the smallest hash of their identifier and then of their
+text: a documented, bounded sample, in one task. Rows with equal identifier and text are one. The weights (``8 * 2**bits`` bytes at most) are broadcast; scoring is a single pass over all
 rows.
 
 Defined results: a null text counts as empty and gets the bias's score; a null label is not used; several labels of one
@@ -99,12 +99,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bits:
     small_batches(docs.sparkSession)
     marked = labels.select(labels["doc_id"].cast("long").alias("of_id"), labels[label_col].cast("int").alias("label")).filter("of_id IS NOT NULL AND label IS NOT NULL")
     marked = marked.filter(~held_out(F.col("of_id"))).groupBy("of_id").agg(F.max("label").alias("label"))
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), whole_text(docs[text_col]).cast("binary").alias("text"))
-    present = own.select("doc_id").distinct()
-    marked = marked.join(present, F.col("of_id") == F.col("doc_id"), "left_semi")
-    marked = marked.orderBy(F.xxhash64("of_id"), "of_id").limit(train_rows)
-    sample = own.join(F.broadcast(marked), F.col("doc_id") == F.col("of_id")).select(F.xxhash64("doc_id").alias("turn"), "doc_id", "label", "text")
-    sample = sample.repartition(1).sortWithinPartitions("turn", "doc_id", "text")
+    text = whole_text(docs[text_col])
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("hashed"), text.cast("binary").alias("text"))
+    met = own.select("doc_id", "hashed").join(marked, F.col("doc_id") == F.col("of_id")).select("of_id", F.col("hashed").alias("of_hashed"), "label").distinct()
+    chosen = met.orderBy(F.xxhash64("of_id"), "of_id", "of_hashed").limit(train_rows)
+    sample = own.join(F.broadcast(chosen), (F.col("doc_id") == F.col("of_id")) & (F.col("hashed") == F.col("of_hashed"))).dropDuplicates(["doc_id", "hashed"])
+    sample = sample.select(F.xxhash64("doc_id").alias("turn"), "doc_id", "label", "text", "hashed").repartition(1).sortWithinPartitions("turn", "doc_id", "hashed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(*features(text, bits), label) for batch in batches for label, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]

@@ -1,11 +1,16 @@
 """Quality, extraction, URL lists, decontamination and the pipeline."""
 
+import collections
+import itertools
+import math
 import random
 import re
 import time
 import zlib
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -26,6 +31,65 @@ def test_quality_on_held_out_rows(spark):
     assert quality.accepted(one, labels.limit(0)).columns == one.columns and quality.accepted(one, labels.limit(0)).count() == 4
 
 
+def plain_features(text, bits):
+    """A text's features, counted one by one."""
+    words = [word.encode() for word in (text or "").split()]
+    shape = lambda word: re.sub(rb"(.)\1+", rb"\1", bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("9") if 48 <= b <= 57 else b for b in word), flags=re.S)
+    own, shapes = [xxhash.xxh32_intdigest(word, 1) for word in words], [xxhash.xxh32_intdigest(shape(word), 2) for word in words]
+    keys = [x * 0x9E3779B97F4A7C15 for x in own] + [x * 0x94D049BB133111EB for x in shapes]
+    keys += [(7 << 60 if a == b else a * 0x9E3779B1 + b * 0x85EBCA77) * 0xBF58476D1CE4E5B9 for a, b in itertools.pairwise(own)]
+    keys += [(a * 0xC2B2AE3D + b * 0x27D4EB4F + 1) * 0xD6E8FEB86659FD93 for a, b in itertools.pairwise(shapes)]
+    counts = collections.Counter(key % (1 << 64) >> 64 - bits for key in keys)
+    norm = math.sqrt(sum(n * n for n in counts.values()))
+    return {place: n / norm for place, n in counts.items()}
+
+
+def plain_scores(training, texts, bits, epochs):
+    """Scores by FTRL-proximal updates, one coordinate after the other."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    weight = lambda k: 0.0 if abs(z[k]) <= 0.01 else -(z[k] - math.copysign(0.01, z[k])) / ((1 + math.sqrt(n[k])) + 0.1)
+    score = lambda x: 1 / (1 + math.exp(-sum(weight(k) * v for k, v in x.items())))
+    rows = [(plain_features(text, bits) | {"bias": 1.0}, label) for text, label in training]
+    for epoch in range(epochs):
+        for k in np.random.default_rng(epoch).permutation(len(rows)).tolist():
+            x, label = rows[k]
+            p, old = score(x), {key: weight(key) for key in x}
+            for key, value in x.items():
+                g = (p - label) * value
+                z[key] += g - (math.sqrt(n[key] + g * g) - math.sqrt(n[key])) * old[key]
+                n[key] += g * g
+    return [score(plain_features(text, bits) | {"bias": 1.0}) for text in texts]
+
+
+def test_quality_against_plain_updates(spark):
+    rnd = random.Random(12)
+    words = ["good", "bad", "Fine", "x1", "2024", "the", "é", "!!", "the"]
+    rows = [(k, " ".join(rnd.choices(words, k=rnd.randint(0, 25)))) for k in range(60)] + [(300, None), (301, ""), (302, "good " * 3000)]
+    rows += [(5, "another text of five"), (5, "another text of five"), (None, "good")]  # several texts, and a repeated row
+    labels = [(k, int(text.count("good") > text.count("bad"))) for k, text in rows[:60]] + [(5, 1), (6, None), (None, 1), (999, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("label", F.lit("clash"))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    held = lambda key: key is not None and zlib.crc32(str(key).encode()) % 4 == 2
+    truth = {}
+    for key, label in labels:
+        if key is not None and label is not None and not held(key):
+            truth[key] = max(label, truth.get(key, 0))
+    hashes = {(row["doc_id"], row["text"]): row for row in docs.select("doc_id", "text", F.xxhash64("doc_id").alias("turn"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hashed")).collect()}
+    order = sorted({(hashes[key, text]["turn"], key, hashes[key, text]["hashed"], text) for key, text in rows if key in truth})
+    for most in (1000, 17):
+        got = quality.scored(docs, quality.train(docs, marks, bits=12, train_rows=most, epochs=3)).collect()
+        found = collections.defaultdict(list)
+        for row in got:
+            found[row["doc_id"]].append(row["score"])
+        want = collections.defaultdict(list)
+        for (key, _), score in zip(rows, plain_scores([(text, truth[key]) for _, key, _, text in order[:most]], [text for _, text in rows], 12, 3), strict=True):
+            want[key].append(score)
+        assert len(got) == len(rows)
+        for key in want:
+            assert np.allclose(sorted(found[key]), sorted(want[key]), atol=1e-5)
+    assert quality.scored(docs.limit(0), quality.train(docs.limit(0), marks)).count() == 0
+
+
 def test_extraction_of_all_pages(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     got = {row["page_id"]: row for row in html_extract.main_texts(pages).collect()}
