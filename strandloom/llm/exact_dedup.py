@@ -2,11 +2,12 @@
 
 Texts go to partitions by their length and content hash. Before that shuffle each map task inserts its texts into a
 compressed radix trie, so a text that a task holds ten thousand times leaves it once; if the trie outgrows its budget the
-heaviest subtrees leave early, as partial counts. Behind the shuffle each (length, hash) cell has a trie of its own over
-full byte strings: equality is decided byte by byte, never by the hash alone. A cell's subtree is written out and freed
-as soon as the sorted input moves on, so memory holds one cell. Terminal nodes store the identifier that stays and the
-number of rows. Rows of the input find their owner by an equi-join on the text's digest; the owner side has one row for
-each distinct text, so adaptive execution can split a hot group's rows over many tasks.
+heaviest subtrees leave early, as partial counts. Behind the shuffle each partition inserts its full byte strings, in order,
+into one trie: which texts are equal is decided byte by byte. Terminal nodes store the identifier that stays and the number of
+rows. As the strings come in order, every subtree beside the path to the newest one is complete, and when the trie outgrows
+its budget these subtrees are written out and freed, so memory holds the budget and one path. Rows of the input find their
+owner by an equi-join on the text's SHA-256, which stands for the text there; the owner side has one row for each distinct
+text, so adaptive execution can split a hot group's rows over many tasks.
 
 Defined results: a null text counts as empty; a null identifier loses to any other; rows that share both identifier and
 text are ties, of which exactly one is kept; an empty table gives an empty result; the caller's other columns are never
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import batches_of, lower_ascii, rows_of, small_batches, whole_text
 
-#: Bytes of edges that a map task's trie may hold.
-TRIE_BYTES = 64 << 20
+#: Bytes that a task's trie may hold: edges, and what a node takes besides.
+TRIE_BYTES = 48 << 20
+NODE_BYTES = 400
 
 
 class Node:
@@ -52,7 +54,7 @@ class PatriciaTrie:
             child = node.kids.get(key[at])
             if child is None:
                 child = Node(key[at:])
-                self.held += len(child.edge)
+                self.held += len(child.edge) + NODE_BYTES
                 node.kids[key[at]] = child
                 node, at = child, len(key)
             elif key.startswith(child.edge, at):
@@ -64,6 +66,7 @@ class PatriciaTrie:
                 child.edge = child.edge[same:]
                 upper.kids[child.edge[0]] = child
                 node.kids[key[at]] = upper
+                self.held += NODE_BYTES
                 node, at = upper, at + same
         if not node.count:
             node.best, node.tag = best, tag
@@ -83,7 +86,7 @@ class PatriciaTrie:
 
     def shed(self) -> Iterator[tuple[bytes, Node]]:
         """Empty the heavier half of the root's subtrees."""
-        weights = sorted(((sum(len(n.edge) for n in _nodes(kid)), first) for first, kid in self.root.kids.items()), reverse=True)
+        weights = sorted(((sum(len(n.edge) + NODE_BYTES for n in _nodes(kid)), first) for first, kid in self.root.kids.items()), reverse=True)
         goal = self.held // 2
         for weight, first in weights:
             yield from self.terminals(self.root.kids.pop(first))
@@ -91,6 +94,19 @@ class PatriciaTrie:
             if self.held <= goal:
                 break
 
+    def shed_before(self, key: bytes) -> Iterator[tuple[bytes, Node]]:
+        """Take out the subtrees of all strings that lie before ``key`` and are none of its beginnings."""
+        node, at = self.root, 0
+        while True:
+            for first in [first for first in node.kids if at < len(key) and first < key[at]]:
+                kid = node.kids.pop(first)
+                self.held -= sum(len(n.edge) + NODE_BYTES for n in _nodes(kid))
+                yield from self.terminals(kid, key[:at])
+            child = node.kids.get(key[at]) if at < len(key) else None
+            if child is None or not key.startswith(child.edge, at):
+                return
+            node, at = child, at + len(child.edge)
+
 
 def _nodes(node: Node) -> Iterator[Node]:
     stack = [node]
@@ -136,13 +152,12 @@ def _gather(largest: bool):
 def _own(largest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            trie, cell = PatriciaTrie(largest), None
-            for n_bytes, hashed, digest, key, best, count in rows_of(batches):
-                if cell != (n_bytes, hashed):
-                    for _, node in trie.terminals():
-                        yield node.tag, node.best, node.count
-                    trie, cell = PatriciaTrie(largest), (n_bytes, hashed)
+            trie = PatriciaTrie(largest)
+            for _, _, digest, key, best, count in rows_of(batches):
                 trie.insert(key, best, count, digest)
+                if trie.held > TRIE_BYTES:
+                    for _, node in trie.shed_before(key):
+                        yield node.tag, node.best, node.count
             for _, node in trie.terminals():
                 yield node.tag, node.best, node.count
 
@@ -161,7 +176,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     own = docs.select(docs[id_col].cast("long").alias("best"), text.alias("key"))
     own = own.select("best", F.col("key").cast("binary").alias("key"), F.xxhash64("key").alias("cell"), F.sha2(F.col("key"), 256).alias("digest"))
     partial = own.mapInArrow(_gather(keep == "max"), "n_bytes long, cell long, digest string, key binary, best long, n long")
-    dealt = partial.repartition("n_bytes", "cell").sortWithinPartitions("n_bytes", "cell")
+    dealt = partial.repartition("n_bytes", "cell").sortWithinPartitions("key")
     return dealt.mapInArrow(_own(keep == "max"), "digest string, best long, n long")
 
 

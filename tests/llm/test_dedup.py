@@ -34,7 +34,23 @@ def test_trie():
     assert {key: (node.best, node.count) for key, node in trie.terminals()} | {key: (node.best, node.count) for key, node in held.items()} == known
 
 
-def test_exact_groups(spark):
+def test_trie_in_order():
+    """Subtrees that leave early are complete, and memory holds little more than the newest path."""
+    rnd = random.Random(2)
+    known = collections.Counter("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 40))).encode() for _ in range(3000))
+    trie, found, most = exact_dedup.PatriciaTrie(), [], 0
+    for key in sorted(known.elements()):
+        trie.insert(key, 1)
+        if trie.held > 20_000:
+            found.extend((text, node.count) for text, node in trie.shed_before(key))
+        most = max(most, trie.held)
+    found.extend((text, node.count) for text, node in trie.terminals())
+    assert len(found) == len(known) and dict(found) == known and most < 60_000
+
+
+@pytest.mark.parametrize("budget", [48 << 20, 2000])
+def test_exact_groups(spark, monkeypatch, budget):
+    monkeypatch.setattr(exact_dedup, "TRIE_BYTES", budget)
     rows = [(k, f"Text {k % 7}") for k in range(60)] + EDGE
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     groups = collections.defaultdict(list)
