@@ -65,9 +65,16 @@ spans AS (SELECT DISTINCT span FROM win),
 grams AS (SELECT doc_id, p, span, g[1:span] AS g FROM g, spans WHERE len(g) >= span),
 m AS (SELECT DISTINCT doc_id, p, span, item_id FROM grams JOIN win USING (span, g)),
 hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + span)) AS q FROM m) GROUP BY doc_id),
+freq AS (SELECT word, count(*) AS c FROM t GROUP BY word),
+places AS (SELECT item_id, w, span, k, unnest(range(k, k + span)) AS j FROM k),
+rare AS (SELECT item_id, w, span, k, arg_min(j, (coalesce(c, 0), j)) AS j FROM places LEFT JOIN freq ON word = w[j + 1] GROUP BY item_id, w, span, k),
+spots AS (SELECT doc_id, item_id, w, span, k, p - 1 - j AS s FROM rare JOIN t ON t.word = w[j + 1]),
+tried AS (SELECT DISTINCT doc_id, item_id, w, span, k, s + d AS s FROM spots, (SELECT unnest(range(-2, 3)) AS d)),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM tried JOIN (SELECT doc_id, w AS dw FROM d) USING (doc_id)
+  WHERE list_bool_and(list_transform(range(k, k + span), lambda j: list_contains(dw[greatest(s + j - 1, 1) : greatest(s + j + 3, 0)], w[j + 1]))) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near_items
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 
