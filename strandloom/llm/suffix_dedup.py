@@ -6,7 +6,8 @@ position whose next ``GRAM`` bytes hash lowest (leftmost on ties), so equal stri
 suffix in 85 is an anchor. The strings that share an anchor are neighbours: a *run*, of up to 169 start positions, with
 one text. Two equal strings always lie in runs whose anchors begin with the same bytes.
 
-1. One pass over all texts gives the runs, with hashes of their leading bytes and of their whole text. Equal runs within
+1. One pass over all texts gives the runs, with 64-bit hashes of their leading bytes and of their whole text, which together
+   stand for the text where runs are counted. Equal runs within
    an Arrow batch are settled there and send on one row, so copies are pre-aggregated before any shuffle.
 2. Runs meet by their leading bytes. Where all runs with the same leading bytes have the same text, all their strings are
    repeated. Where texts differ, each text counts once, with its number of occurrences.
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import batches_of, marked_only, rows_of, small_batches, stored, whole_text
+from strandloom.llm.decontaminate import bounded
 
 #: Leading bytes by which anchors are chosen and meet; a multiple of eight.
 GRAM = 32
@@ -43,6 +45,9 @@ BANDS = 2
 SEGMENT = 1 << 19
 #: Groups up to this size are compared pair by pair, larger ones by sorting.
 FEW = 6
+#: Pieces of a group from which on it is cut into narrower bands, and these bands' start positions.
+MOST_PIECES = 20_000
+NARROW = (8, 1)
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 _HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -249,6 +254,54 @@ def _cut_pieces(length: int, bands: int):
     return run
 
 
+def _recut(length: int, width: int):
+    """Pieces cut again into bands of ``width`` start positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for core, band, lead, body, text, place, n, first, wanted in rows_of(batches):
+                for low in range(0, length - len(core) + 1, width):
+                    high = min(low + width - 1, length - len(core))
+                    begin, end = max(0, place - high), min(n - 1, place - low)
+                    if begin <= end:
+                        yield text[place - low : place - high + length], band << 10 | low, lead, body, text[begin : end + length], place - low - begin, end - begin + 1, first + begin, wanted
+
+        yield from batches_of(rows(), _PIECES, 5000)
+
+    return run
+
+
+def compared(pieces: DataFrame, length: int, most_pieces: int = MOST_PIECES) -> DataFrame:
+    """``lead, body, low, high``: of stored ``pieces`` the start positions of wanted texts whose strings other texts of their group have.
+
+    Groups of more than ``most_pieces`` are cut into narrower bands first, so a task's list of pieces is bounded; what is
+    alone in its band then is dropped, and single strings are only counted.
+    """
+    key = F.xxhash64("core", "band")
+    settled: list[DataFrame] = []
+    small: list[DataFrame] = []
+    for width in NARROW:
+        sizes = pieces.groupBy(key.alias("of_key")).agg(F.count(F.lit(1)).alias("held"))
+        large = stored(sizes.filter(F.col("held") > most_pieces).select("of_key"), "hot-pieces")
+        if large.isEmpty():
+            break
+        small.append(pieces.join(bounded(large), key == F.col("of_key"), "left_anti"))
+        cut = stored(pieces.join(bounded(large), key == F.col("of_key"), "left_semi").mapInArrow(_recut(length, width), _PIECES_SQL), "narrow-pieces", compression="zstd")
+        shared = cut.groupBy(key.alias("of_key")).agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+        pieces = stored(cut.join(shared, key == F.col("of_key"), "left_semi"), "shared-pieces", compression="zstd")
+        if width == 1:
+            many = pieces.groupBy(F.col("core").alias("of_core")).agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+            found = pieces.filter("wanted").join(many, F.col("core") == F.col("of_core"), "left_semi")
+            settled.append(found.select("lead", "body", F.col("first").alias("low"), (F.col("first") + F.col("n")).alias("high")))
+            pieces = pieces.limit(0)
+    for part in small:
+        pieces = pieces.union(part)
+    ranges = pieces.repartitionByRange("core", "band").sortWithinPartitions("core", "band").mapInArrow(_compare(length), "lead long, body long, low int, high int")
+    for part in settled:
+        ranges = ranges.union(part)
+    return ranges
+
+
 def _compare(length: int):
     schema = pa.schema([("lead", pa.int64()), ("body", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 
@@ -331,8 +384,7 @@ def repeated_ranges(docs: DataFrame, length: int = 200, bands: int = BANDS, id_c
     same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("hashed") == F.col("c_hashed"))
     texts = marked_only(own, cases.select(F.col("c_id").alias("doc_id"), F.col("c_hashed").alias("hashed")))
     pieces = stored(texts.join(cases, same).select("text", "cases").mapInArrow(_cut_pieces(length, bands), _PIECES_SQL), "pieces", compression="zstd")
-    ranges = pieces.repartitionByRange("core", "band").sortWithinPartitions("core", "band").mapInArrow(_compare(length), "lead long, body long, low int, high int")
-    ranges = ranges.groupBy("lead", "body").agg(F.collect_set(F.struct("low", "high")).alias("ranges")).withColumnsRenamed({"lead": "r_lead", "body": "r_body"})
+    ranges = compared(pieces, length).groupBy("lead", "body").agg(F.collect_set(F.struct("low", "high")).alias("ranges")).withColumnsRenamed({"lead": "r_lead", "body": "r_body"})
     verdicts = classes.select(F.col("lead").alias("v_lead"), F.col("body").alias("v_body"), "count")
     verdicts = verdicts.join(ranges, (F.col("v_lead") == F.col("r_lead")) & (F.col("v_body") == F.col("r_body")), "left").filter("count > 1 OR ranges IS NOT NULL")
 

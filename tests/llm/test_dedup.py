@@ -84,7 +84,9 @@ def brute_repeats(rows, length):
     return sorted(out, key=str)
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("most", [20_000, 3, 1])
+def test_repeats(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup.compared, "__defaults__", (most,))
     rnd = random.Random(2)
     word = lambda n: "".join(rnd.choice("abcdef ") for _ in range(n))
     passages = [word(rnd.randint(150, 420)) for _ in range(6)]
@@ -102,6 +104,27 @@ def test_repeats(spark):
     assert sorted(map(tuple, got), key=str) == brute_repeats(rows, 200)
 
 
+def test_one_line_in_many_texts(spark, monkeypatch):
+    """A line of 150 bytes in differing surroundings is no repeat, and no list of its texts is long."""
+    monkeypatch.setattr(suffix_dedup.compared, "__defaults__", (100,))
+    rnd = random.Random(7)
+    word = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    line = word(150)
+    rows = [(k, word(200) + line + word(200)) for k in range(3000)] + [(5000, "x" * 30 + rows_of_line) for rows_of_line in [line + "y" * 60]] + [(5001, "z" * 30 + line + "y" * 60)]
+    seen = spark.sparkContext.accumulator(0)
+    settle = suffix_dedup.repeated_starts
+
+    def watched(group, core, length):
+        if len(group) > 100:
+            seen.add(1)
+        return settle(group, core, length)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", watched)
+    got = {row["doc_id"]: row["n_removed"] for row in suffix_dedup.without_repeats(frame(spark, rows), 200).collect()}
+    assert {key: n for key, n in got.items() if n} == {5000: 210, 5001: 210} and len(got) == len(rows)
+    assert suffix_dedup.without_repeats(frame(spark, rows).limit(0), 200).count() == 0
+
+
 def test_large_groups_compare_as_pairs_do():
     rnd = random.Random(3)
     base = bytes(rnd.choice(b"ab") for _ in range(369))
@@ -220,10 +243,8 @@ def test_near_stage_keeps_no_similar_pair(spark, monkeypatch, small):
     from strandloom.llm import simhash_sets
 
     if small:  # many parts of tiles and of cases, and few entries of inverted lists at a time
-        monkeypatch.setattr(simhash_sets.candidate_links, "__defaults__", ((4, 5), 7))
         monkeypatch.setattr(simhash_sets.similar_groups, "__defaults__", (5, (4, 5), "doc_id", "text", 7, 3000))
         monkeypatch.setattr(simhash_sets, "LISTED", 9)
-        monkeypatch.setattr(simhash_sets, "MOST_VISITORS", 5)
         monkeypatch.setattr(simhash_sets, "BLOCK", 3)
     rnd = random.Random(5)
     vocabulary = [f"w{k}" for k in range(300)]
