@@ -15,13 +15,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import batches_of, rows_of, small_batches, whole_text
-from strandloom.llm.tokens import pack, word_encoder
+from strandloom.llm.common import small_batches, whole_text
+from strandloom.llm.tokens import word_encoder
 
 SCHEMA = "doc_id long, part int, row long, n_tokens long, ids array<int>"
 
@@ -44,24 +45,29 @@ def writer_options(encoding: str = "delta", compression: str = "snappy", row_gro
     }
 
 
+def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, one value after the other, and where each value ends; nothing is copied."""
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(ends):
+        return np.zeros(0, np.uint8), ends
+    whole = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return whole[ends[0] : ends[-1]], ends[1:] - ends[0]
+
+
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of the token files, in ascending order of identifier over partitions and within them."""
     small_batches(docs.sparkSession)
-    end = b"" if end_id is None else pack([end_id])
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, row = word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encode, part, row = word_encoder(tokenizer_path).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
-            lists = [ids + end for ids in encode.batch(batch.column(1).to_pylist())]
-            ends = [0]
-            for ids in lists:
-                ends.append(ends[-1] + len(ids) // 4)
-            n = len(lists)
-            values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(lists))])
-            columns = [batch.column(0), pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), pa.array([len(ids) // 4 for ids in lists], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
+            n = batch.num_rows
+            ids, counts = encode(*_joined(batch.column(1)), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.record_batch([batch.column(0), pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), pa.array(counts, pa.int64()), lists], schema=schema)
             row += n
-            yield pa.record_batch(columns, schema=schema)
 
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), whole_text(docs[text_col]).cast("binary").alias("text"))
     return own.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SCHEMA)

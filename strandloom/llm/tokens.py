@@ -206,71 +206,202 @@ def byte_symbols() -> list[str]:
     return [chr(byte) if byte in plain else chr(next(others)) for byte in range(256)]
 
 
+class Places:
+    """Numbers of byte strings of at most 16 bytes without zeros: open addressing on whole arrays, keys compared in full."""
+
+    def __init__(self, bits: int = 16) -> None:
+        self.bits, self.held = bits, 0
+        self.low, self.high = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.number = np.full(1 << bits, -1, np.int32)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        mixed = low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed ^= mixed >> np.uint64(32)
+        return ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it has none."""
+        found, slot, going = np.full(len(low), -1, np.int32), self._slot(low, high), np.arange(len(low))
+        while len(going):
+            number = self.number[slot]
+            hit = (number >= 0) & (self.low[slot] == low[going]) & (self.high[slot] == high[going])
+            found[going[hit]] = number[hit]
+            on = (number >= 0) & ~hit
+            going, slot = going[on], (slot[on] + 1) & (len(self.number) - 1)
+        return found
+
+    def add(self, low: np.ndarray, high: np.ndarray, number: np.ndarray) -> None:
+        """Store distinct keys that have no number yet."""
+        while (self.held + len(low)) * 2 > len(self.number):
+            old = np.flatnonzero(self.number >= 0)
+            held = self.low[old], self.high[old], self.number[old]
+            self.__init__(self.bits + 1)
+            self.add(*held)
+        slot = self._slot(low, high)
+        self.held += len(low)
+        while len(low):
+            free = np.flatnonzero(self.number[slot] < 0)
+            at, first = np.unique(slot[free], return_index=True)
+            taken = free[first]
+            self.low[at], self.high[at], self.number[at] = low[taken], high[taken], number[taken]
+            on = np.ones(len(low), bool)
+            on[taken] = False
+            low, high, number, slot = low[on], high[on], number[on], (slot[on] + 1) & (len(self.number) - 1)
+
+
 class WordEncoder:
-    """Packed ids of whole texts by a tokenizer that drops white space.
+    """Ids of whole texts by a tokenizer that drops white space, on whole arrays.
 
     ASCII white space always separates pieces, is never part of one, and composes with nothing under normalisation, so a
     text's ids are those of its chunks one after the other. Chunks of Latin letters, with one mark after them at most, are
-    two pieces at most, which are merged in bulk; the library encodes all other chunks.
+    two pieces at most; pieces of up to 16 bytes are numbered in a table and merged in bulk when they are new. The library
+    encodes all other chunks, and a memo numbers them. Both forget everything when they are full.
     """
 
     MARKS = b".,;:!?"
+    #: Bytes of texts that are encoded at a time, but for a chunk that is longer.
+    SEGMENT = 4 << 20
+    #: Pieces, and other chunks, from which on everything is forgotten.
+    PIECES, OTHERS = 1 << 21, 1 << 18
 
     def __init__(self, path: str) -> None:
         if not drops_white_space(path):
             raise ValueError("this tokenizer keeps white space")
         special_strings(path)
         self.tokenizer = library(path)
-        self.memo = Memo(self._encode, 700_000)
-        self.pieces = Memo(BulkMerger(path))
+        self.merger = BulkMerger(path)
         probe = "\u00c0b\u00df\u00ff."
         pieces = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(probe))]
         symbols = byte_symbols()
         self.plain = pieces == ["".join(symbols[byte] for byte in part.encode()) for part in ("\u00e0b\u00df\u00ff", ".")]
+        self.white = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+        self.forget()
+
+    def forget(self) -> None:
+        self.places, self.others = Places(), {}
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.begins, self.sizes, self.numbered = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
+        self.marks = np.full(256, -1, np.int32)
+        self.marks[np.frombuffer(self.MARKS, np.uint8)] = self._number(self.merger([bytes([mark]) for mark in self.MARKS]))
+
+    def _number(self, packed: list[bytes]) -> np.ndarray:
+        """Numbers of new packed ids, which are stored."""
+        ids, sizes = np.frombuffer(b"".join(packed), "<i4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        self.ids = _with_room(self.ids, self.used + len(ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        numbers = np.arange(self.numbered, self.numbered + len(packed), dtype=np.int32)
+        self.begins, self.sizes = (_with_room(each, self.numbered + len(packed)) for each in (self.begins, self.sizes))
+        self.begins[numbers], self.sizes[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.numbered = self.used + len(ids), self.numbered + len(packed)
+        return numbers
+
+    def _pieces(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        found = self.places.find(low, high)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            order = missing[np.lexsort((high[missing], low[missing]))]
+            new = order[np.concatenate([[True], (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])])]
+            raw = np.stack([low[new], high[new]], 1).astype("<u8").tobytes()
+            numbers = self._number(self.merger([raw[at : at + 16].rstrip(b"\0") for at in range(0, len(raw), 16)]))
+            self.places.add(low[new], high[new], numbers)
+            found[missing] = self.places.find(low[missing], high[missing])
+        return found
+
+    def _rest(self, chunks: list[bytes]) -> list[int]:
+        new = list(set(chunks).difference(self.others))
+        if new:
+            found = self.tokenizer.encode_batch([chunk.decode("utf-8", "replace") for chunk in new], add_special_tokens=False)
+            self.others.update(zip(new, self._number([pack(each.ids) for each in found]).tolist(), strict=True))
+        return list(map(self.others.__getitem__, chunks))
 
-    def _plain(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Which chunks are Latin letters, which are letters and a mark, and every chunk's letters in lower case.
+    def _segment(self, data: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the chunks of ``data`` begin, how many ids each has, and all their ids. ``fresh`` marks where texts begin.
 
-        In UTF-8 the letters beyond ASCII are byte 195 and a second byte; capitals have the second byte 32 lower.
+        In UTF-8 the Latin letters beyond ASCII are byte 195 and a second byte; capitals have the second byte 32 lower.
         """
-        joined = np.frombuffer(b"\n".join(chunks) + b"\n", np.uint8)
-        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = ends - sizes
-        capital = (joined >= 65) & (joined <= 90)
-        second = np.zeros(len(joined), bool)
-        second[1:] = (joined[:-1] == 0xC3) & (joined[1:] >= 0x80) & (joined[1:] < 0xC0) & (joined[1:] != 0x97) & (joined[1:] != 0xB7)
-        letter = capital | ((joined >= 97) & (joined <= 122)) | second
+        if len(self.others) > self.OTHERS or self.places.held > self.PIECES:
+            self.forget()
+        space = self.white[data]
+        begin, last = ~space, ~space
+        begin[1:] &= space[:-1] | fresh[1:]
+        last[:-1] &= space[1:] | fresh[1:]
+        starts, ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
+        sizes = ends - starts
+        capital = (data >= 65) & (data <= 90)
+        second = np.zeros(len(data), bool)
+        second[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7) & ~fresh[1:]
+        letter = capital | ((data >= 97) & (data <= 122)) | second
         letter[:-1] |= second[1:]
-        lowered = joined + 32 * (capital | (second & (joined < 0x9F))).astype(np.uint8)
-        others = np.concatenate([[0], np.cumsum(~letter)])
+        lowered = np.zeros(len(data) + 16, np.uint8)
+        lowered[: len(data)] = data + 32 * (capital | (second & (data < 0x9F))).astype(np.uint8)
+        others = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(~letter, out=others[1:])
         others = others[ends] - others[starts]
-        short = sizes <= 40
-        marked = short & (others == 1) & (sizes > 1) & np.isin(joined[ends - 1], np.frombuffer(self.MARKS, np.uint8))
-        data = lowered.tobytes()
-        return short & (others == 0), marked, [data[a:b] for a, b in zip(starts.tolist(), (ends - marked).tolist(), strict=True)]
-
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        if not self.plain:
-            return self._by_library(chunks)
-        letters, marked, bodies = self._plain(chunks)
-        good = letters | marked
-        self.pieces.fill({body for body, use in zip(bodies, good.tolist(), strict=True) if use} | {bytes([mark]) for mark in self.MARKS})
-        known = self.pieces.known
-        rest = iter(self._by_library([chunk for chunk, use in zip(chunks, good.tolist(), strict=True) if not use]))
-        tails = {mark: known[bytes([mark])] for mark in self.MARKS}
-        kinds = (letters + 2 * marked).tolist()
-        return [known[body] if kind == 1 else known[body] + tails[chunk[-1]] if kind else next(rest) for chunk, body, kind in zip(chunks, bodies, kinds, strict=True)]
-
-    def _by_library(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([chunk.decode("utf-8", "replace") for chunk in chunks], add_special_tokens=False)
-        return [pack(each.ids) for each in found]
-
-    def batch(self, texts: list[bytes]) -> list[bytes]:
-        return [b"".join(found) for found in self.memo.of_texts([text.split() for text in texts])]
-
-    def __call__(self, text: bytes) -> bytes:
-        return self.batch([text])[0]
+        marked = (others == 1) & (sizes > 1) & (self.marks[data[ends - 1]] >= 0)
+        body = sizes - marked
+        known = (body <= 16) & (marked | (others == 0)) & self.plain
+        numbers = np.zeros(len(starts), np.int32)
+        eight = np.ndarray((len(data) + 9,), "<u8", lowered, strides=(1,))
+        few, at, size = np.flatnonzero(known), starts[known], body[known]
+        mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        numbers[few] = self._pieces(eight[at] & mask[np.minimum(size, 8)], eight[np.minimum(at + 8, len(data))] & mask[np.clip(size - 8, 0, 8)])
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            raw = data.tobytes()
+            numbers[rest] = self._rest([raw[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)])
+        marked &= known
+        after = np.cumsum(marked)
+        units = np.zeros(len(starts) + int(marked.sum()), np.int32)
+        places = np.arange(len(starts)) + after - marked
+        units[places] = numbers
+        units[places[marked] + 1] = self.marks[data[ends[marked] - 1]]
+        counts = self.sizes[units].astype(np.int64)
+        before = np.cumsum(counts) - counts
+        ids = self.ids[np.repeat(self.begins[units] - before, counts) + np.arange(counts.sum())]
+        per_chunk = counts[places]
+        per_chunk[marked] += counts[places[marked] + 1]
+        return starts, per_chunk, ids
+
+    def encode(self, data: np.ndarray, ends: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts that lie one after the other in ``data`` up to ``ends``, and how many each text has; ``end_id``, if any, comes after each text."""
+        ends = np.asarray(ends, np.int64)
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        fresh = np.zeros(len(data), bool)
+        fresh[begins[begins < ends]] = True
+        totals = np.zeros(len(ends), np.int64)
+        found, at = [np.zeros(0, np.int32)], 0
+        while at < len(data):
+            to = self._cut(data, fresh, at)
+            starts, counts, ids = self._segment(data[at:to], fresh[at:to])
+            np.add.at(totals, np.searchsorted(ends, starts + at, "right"), counts)
+            found.append(ids)
+            at = to
+        ids = np.concatenate(found)
+        if end_id is not None:
+            ids = np.insert(ids, np.cumsum(totals), end_id)
+            totals = totals + 1
+        return ids, totals
+
+    def _cut(self, data: np.ndarray, fresh: np.ndarray, at: int) -> int:
+        """Where the segment that begins at ``at`` ends: at white space or a text's begin, the last one within its size if there is one."""
+        to = at + self.SEGMENT
+        if to >= len(data):
+            return len(data)
+        breaks = np.flatnonzero(self.white[data[at + 1 : to]] | fresh[at + 1 : to])
+        if len(breaks):
+            return at + 1 + int(breaks[-1])
+        while to < len(data):
+            breaks = np.flatnonzero(self.white[data[to : to + self.SEGMENT]] | fresh[to : to + self.SEGMENT])
+            if len(breaks):
+                return to + int(breaks[0])
+            to += self.SEGMENT
+        return len(data)
+
+
+def _with_room(array: np.ndarray, size: int) -> np.ndarray:
+    if size <= len(array):
+        return array
+    return np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
 
 
 @functools.lru_cache(maxsize=4)

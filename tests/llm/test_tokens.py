@@ -5,9 +5,11 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
+from pyarrow import parquet
 
-from strandloom.llm import bpe_tree, token_counts, token_store
+from strandloom.llm import bpe_tree, token_counts, token_store, tokens
 
 P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -54,8 +56,11 @@ def test_tree_encoding(spark):
         ids = library.encode(text or "", add_special_tokens=False).ids
         want.append((key, len(ids), hashlib.sha256(array.array("I", ids).tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     for leaf in (30, 100_000):
-        assert sorted(map(tuple, bpe_tree.encoded(df, path, leaf_chars=leaf).collect()), key=str) == sorted(want, key=str)
+        got = bpe_tree.encoded(df, path, leaf_chars=leaf, lists=True).collect()
+        assert sorted((tuple(row)[:4] for row in got), key=str) == sorted(want, key=str)
+        assert all(row["round_trip"] and hashlib.sha256(array.array("I", row["ids"]).tobytes()).hexdigest() == row["ids_sha256"] for row in got)
     assert bpe_tree.encoded(df.limit(0), path).count() == 0
+    assert token_counts.token_counts(df.limit(0), path).count() == 0
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
@@ -75,6 +80,54 @@ def test_token_files(spark, tmp_path, encoding):
     assert part.count() == len(ODD) and "ids" not in part.columns
 
 
+@pytest.mark.parametrize("limits", [(4 << 20, 1 << 21, 1 << 18), (7, 3, 2), (64, 50, 9)])
+def test_words_on_whole_arrays(monkeypatch, limits):
+    path = P.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    for name, value in zip(("SEGMENT", "PIECES", "OTHERS"), limits, strict=True):
+        monkeypatch.setattr(tokens.WordEncoder, name, value)
+    encoder = tokens.WordEncoder(path)
+    rnd = random.Random(3)
+    parts = ["a", "B", "the", "Thé", "É", "ß", "ß", "×", ".", ",", "!", " ", "  ", "\n", "1", "漢", "́", "<|endoftext|>", "abcdefgh", "ijklmnop", "Ã", "\x00"]
+    texts = [t or "" for t in ODD] + ["".join(rnd.choices(parts, k=rnd.choice((0, 1, 4, 30)))) for _ in range(400)]
+    for _ in range(2):  # the second time from the memos
+        rnd.shuffle(texts)
+        raw = [text.encode() for text in texts]
+        ids, counts = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(list(map(len, raw))), 1)
+        want = [[*library.encode(text, add_special_tokens=False).ids, 1] for text in texts]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert encoder.encode(np.zeros(0, np.uint8), np.zeros(2, np.int64), 1)[0].tolist() == [1, 1]
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_layout_of_files(spark, tmp_path, encoding):
+    rnd = random.Random(4)
+    rows = [(k, " ".join(rnd.choices(["one", "two", "three", "four"], k=200))) for k in range(4000)]
+    out = tmp_path / "tokens"
+    token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(out), P.path("word_bpe_49k.json"), encoding=encoding, page_rows=100, row_group_bytes=1 << 17)
+    groups = 0
+    for file in out.glob("*.parquet"):
+        footer = parquet.ParquetFile(file).metadata
+        groups += footer.num_row_groups
+        for k in range(footer.num_row_groups):
+            columns = {footer.row_group(k).column(c).path_in_schema: footer.row_group(k).column(c) for c in range(footer.num_columns)}
+            ids = next(column for name, column in columns.items() if name.startswith("ids"))
+            assert ("RLE_DICTIONARY" in ids.encodings or "PLAIN_DICTIONARY" in ids.encodings) == (encoding == "dictionary")
+            assert ("DELTA_BINARY_PACKED" in ids.encodings) == (encoding == "delta")
+            assert columns["doc_id"].has_column_index and columns["doc_id"].has_offset_index and ids.has_offset_index
+    assert groups > len(list(out.glob("*.parquet")))
+    assert token_store.read_tokens(spark, str(out), ["n_tokens"], first=100, last=102).count() == 3
+
+
+def test_rows_of_one_identifier(spark, tmp_path):
+    rows = [(5, "one two"), (5, "three"), (5, None), (None, "x"), (None, None)]
+    out = str(tmp_path / "tokens")
+    token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), out, P.path("word_bpe_49k.json"))
+    found = token_store.layout_of(spark, out).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [None, None, 5, 5, 5]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_empty_token_files(spark, tmp_path):
     _, df = frame(spark)
     out = str(tmp_path / "none")
