@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from strandloom.llm.common import batches_of, rows_of, small_batches, whole_text
+from strandloom.llm.common import batches_of, rows_of, small_batches, stored, whole_text
 from strandloom.llm.tokens import Memo, library, pack, settings, special_strings
 
 #: Characters of a leaf; a parameter of the operators, as is the first window's bytes on either side.
@@ -50,6 +50,8 @@ class TreeEncoder:
         pre = config["pre_tokenizer"] or {}
         if config["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex") or config["model"]["type"] != "BPE":
             raise ValueError("a byte-level BPE tokenizer without normaliser and prefix space is asked for")
+        if any(config["model"].get(key) for key in ("ignore_merges", "dropout", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")):
+            raise ValueError("a BPE model is asked for whose ids depend on nothing but its merges, as agreement around a join relies on them")
         self.tokenizer = library(path)
         self.specials = special_strings(path)
         found = sorted(self.specials, key=len, reverse=True)
@@ -161,81 +163,78 @@ def tree_encoder(path: str) -> TreeEncoder:
     return TreeEncoder(path)
 
 
-_LEAVES = pa.schema([("doc_id", pa.int64()), ("hashed", pa.int64()), ("same", pa.binary()), ("k", pa.int32()), ("n", pa.int32()), ("leaf", pa.binary()), ("ids", pa.binary())])
-_LEAVES_SQL = "doc_id long, hashed long, same binary, k int, n int, leaf binary, ids binary"
+_DONE = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_()), ("ids", pa.list_(pa.int32()))]
+_DONE_SQL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, ids array<int>"
+_LEAVES = [("same", pa.binary()), ("hashed", pa.int64()), ("k", pa.int32()), ("n", pa.int32()), ("leaf", pa.binary())]
+_LEAVES_SQL = "same binary, hashed long, k int, n int, leaf binary"
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True, lists: bool = False) -> DataFrame:
-    """One row for each input row: ``doc_id, n_tokens, ids_sha256``, then ``decoded_sha256`` if ``decoded`` and ``ids`` (packed) if ``lists``.
+    """One row for each input row: ``doc_id, n_tokens, ids_sha256``, then ``decoded_sha256`` and ``round_trip`` (whether the decoded
+    text is the text) if ``decoded``, and ``ids`` if ``lists``.
 
-    Texts of one leaf are encoded where they are read and send on only their result. Leaves of longer texts are dealt out
-    by text and number, encoded, and met again by the text's digest; one task then holds one such text at a time.
+    Texts of one leaf are encoded where they are read and shuffle nothing. Leaves of longer texts are dealt out by text and
+    number, encoded, and met again by the text's digest; one task then holds one such text at a time.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(doc_id: int | None, packed: bytes, text: str, whole: bool) -> tuple:
+        ids = np.frombuffer(packed, "<i4") if lists else None
+        return doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(text.encode()).hexdigest() if decoded else None, whole if decoded else None, ids
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Results of texts of one leaf, and the leaves of the others."""
         tool = tree_encoder(tokenizer_path)
 
         def rows() -> Iterator[tuple]:
-            for doc_id, text in rows_of(batches):
-                parts = tool.cuts(text, leaf_chars)
-                same = xxhash.xxh3_128_digest(text.encode())
-                for k, part in enumerate(parts):
-                    yield doc_id, int.from_bytes(same[:8], "little", signed=True), same, k, len(parts), part.encode(), None
-
-        yield from batches_of(rows(), _LEAVES)
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = tree_encoder(tokenizer_path)
-        for batch in cut(batches):
-            held = list(rows_of([batch]))
-            single = [row for row in held if row[4] == 1]
-            packed = [tool.leaf(row[5].decode()) for row in single]
-            texts = tool.decode(packed) if decoded else [""] * len(packed)
-            done = [(*row[:5], None, None, *digest(ids, text)) for row, ids, text in zip(single, packed, texts, strict=True)]
-            rest = [(*row, None, None, None, None) for row in held if row[4] > 1]
-            yield from batches_of(iter(done + rest), _MIXED)
-
-    def digest(ids: bytes, text: str) -> tuple:
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest() if decoded else None, ids if lists else None
+            for batch in batches:
+                short, long = [], []
+                for doc_id, text in rows_of([batch]):
+                    (short if len(text) <= leaf_chars else long).append((doc_id, text))
+                packed = [tool.leaf(text) for _, text in short]
+                texts = tool.decode(packed) if decoded else [""] * len(packed)
+                for (doc_id, text), ids, back in zip(short, packed, texts, strict=True):
+                    yield *digest(doc_id, ids, back, back == text), None, None, None, 1, None
+                for doc_id, text in long:
+                    same, parts = xxhash.xxh3_128_digest(text.encode()), tool.cuts(text, leaf_chars)
+                    for k, part in enumerate(parts):
+                        yield doc_id, None, None, None, None, None, same, int.from_bytes(same[:8], "little", signed=True), k, len(parts) + 1, part.encode()
+
+        yield from batches_of(rows(), pa.schema(_DONE + _LEAVES))
+
+    part = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("k", pa.int32()), ("leaf", pa.binary()), ("ids", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = tree_encoder(tokenizer_path)
-        yield from batches_of(((*row[:6], tool.leaf(row[5].decode()) if row[4] > 1 else None, *row[7:]) for row in rows_of(batches)), _MIXED)
+        yield from batches_of(((doc_id, same, k, leaf, tool.leaf(leaf.decode())) for doc_id, same, k, leaf in rows_of(batches)), part)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = tree_encoder(tokenizer_path)
 
         def finish(group: list[tuple]) -> Iterator[tuple]:
-            by_k = {row[3]: row for row in group}
-            _, ids = tool.fold([(by_k[k][5], np.frombuffer(by_k[k][6], "<u4")) for k in sorted(by_k)])
+            by_k = {row[2]: row for row in group}
+            text, ids = tool.fold([(by_k[k][3], np.frombuffer(by_k[k][4], "<u4")) for k in sorted(by_k)])
             packed = ids.astype("<u4").tobytes()
-            result = digest(packed, tool.decode([packed])[0] if decoded else "")
-            for _ in range(sum(row[3] == 0 for row in group)):  # rows that share identifier and text
-                yield group[0][0], *result
+            back = tool.decode([packed])[0] if decoded else ""
+            for _ in range(sum(row[2] == 0 for row in group)):  # rows that share identifier and text
+                yield digest(group[0][0], packed, back, back.encode() == text)
 
         def rows() -> Iterator[tuple]:
             group: list[tuple] = []
             for row in rows_of(batches):
-                if group and (row[0], row[2]) != (group[0][0], group[0][2]):
+                if group and row[:2] != group[0][:2]:
                     yield from finish(group)
                     group = []
-                if row[4] == 1:
-                    yield row[0], *row[7:]
-                else:
-                    group.append(row)
+                group.append(row)
             if group:
                 yield from finish(group)
 
-        yield from batches_of(rows(), _RESULT)
+        yield from batches_of(rows(), pa.schema(_DONE))
 
-    result_sql = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
-    mixed_sql = _LEAVES_SQL + ", n_tokens long, ids_sha256 string, decoded_sha256 string, out binary"
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), whole_text(docs[text_col]).alias("text"))
-    leaves = own.mapInArrow(short, mixed_sql).repartition("doc_id", "hashed", "k").mapInArrow(encode, mixed_sql)
-    met = leaves.repartition("doc_id", "same").sortWithinPartitions("doc_id", "same", "k").mapInArrow(meet, result_sql)
-    return met.drop(*(["ids"] if not lists else []), *(["decoded_sha256"] if not decoded else []))
-
-
-_MIXED = pa.schema([*_LEAVES, ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("out", pa.binary())])
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.binary())])
+    found = stored(own.mapInArrow(first, f"{_DONE_SQL}, {_LEAVES_SQL}"), "leaves")
+    leaves = found.filter("n > 1").select("doc_id", "same", "k", "leaf", "hashed").repartition("doc_id", "hashed", "k").select("doc_id", "same", "k", "leaf").mapInArrow(encode, "doc_id long, same binary, k int, leaf binary, ids binary")
+    long = leaves.repartition("doc_id", "same").sortWithinPartitions("doc_id", "same", "k").mapInArrow(meet, _DONE_SQL)
+    names = [name for name, _ in _DONE if (lists or name != "ids") and (decoded or name not in ("decoded_sha256", "round_trip"))]
+    return found.filter("n = 1").select(*names).union(long.select(*names))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,12 +67,12 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = BATCH_ROWS, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows as Arrow batches, cut by rows and by the bytes of their binary and text values."""
+    """Rows as Arrow batches, cut by rows and by the bytes of their binary, text and array values."""
     held: list[tuple] = []
     weight = 0
     for row in rows:
         held.append(row)
-        weight += sum(len(value) for value in row if isinstance(value, bytes | str))
+        weight += sum(value.nbytes if isinstance(value, np.ndarray) else len(value) for value in row if isinstance(value, bytes | str | np.ndarray))
         if len(held) >= size or weight >= most_bytes:
             yield _batch(held, schema)
             held, weight = [], 0
