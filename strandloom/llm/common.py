@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -52,14 +54,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+class _Written(threading.local):
+    """Tables that :func:`stored` has written in a thread and nothing has deleted yet."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_written = _Written()
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: lineage is cut, and nothing is computed twice."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    _written.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that :func:`stored` has written meanwhile, but for the last one: what was read from them must be done by then."""
+    first = len(_written.paths)
+    yield
+    old = _written.paths[first:-1]
+    del _written.paths[first:-1]
+    for path in old:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of Arrow batches as tuples."""
     for batch in batches:

@@ -158,6 +158,9 @@ def components(edges: DataFrame) -> DataFrame:
     rounds grows with the logarithm of the graph's diameter, and each round is written to the shared folder.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "star")
+    # two sums that do not depend on order tell whether a round has changed anything
+    state = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u")), F.bit_xor(F.xxhash64("u", "v", F.lit(1)))).first()
+    was = state(edges)
     while True:
         both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("low")).select(F.col("v").alias("x"), F.least("low", "v").alias("low"))
@@ -165,11 +168,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("low")).select(F.col("v").alias("x"), "low")
         small = large.join(least, F.col("v") == F.col("x"))
         small = small.select("v", F.col("low").alias("u")).union(small.filter("u > low").select(F.col("u").alias("v"), F.col("low").alias("u"))).distinct()
-        following = stored(small, "star")
-        changed = following.count() != edges.count() or following.exceptAll(edges).limit(1).count()
-        edges = following
-        if not changed:
+        edges = stored(small, "star")
+        now = state(edges)
+        if now == was:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("root"))).distinct()
+        was = now
 
 
 def named(prints: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ similarity of ``least`` the radius must be wide, so fingerprints here have 256 b
    of the set's (mixed) hashes have it.
 2. Nodes go to tiles by the logarithm of their set's size: a similarity of 0.8 needs sizes within a factor of 1.25, so a tile
    meets itself and its smaller neighbour. Blocks of a tile are compared with exclusive-or and bit counts; block pairs whose
-   sizes or population counts are too far apart are skipped. A tile writes a forest of its candidates, never all pairs.
+   sizes or population counts are too far apart are skipped. Large tiles are split, and each pair of parts is one task, which
+   writes a forest of its candidates, never all pairs.
 3. Nodes that are connected by candidates are a case. A case's sets meet in one task, or, if they are large, in one task
    for each pair of its parts; common shingles of all its pairs are counted there from inverted lists, so no pair is ever
    written, and only a forest of links of sufficient similarity leaves.
@@ -43,9 +44,8 @@ WIDE = 4
 LEAST = (4, 5)
 #: Home nodes and visitors of a block comparison.
 BLOCK, ACROSS = 256, 1024
-#: Home nodes of one part of a tile, and visitors that a task holds at a time.
-PART_NODES = 1 << 17
-MOST_VISITORS = 1 << 20
+#: Parts of tiles hold this share of all nodes, within these bounds.
+TASKS, LEAST_NODES, MOST_NODES = 256, 1 << 12, 1 << 18
 #: Bytes of sets of one part of a case.
 PART_BYTES = 32 << 20
 #: Entries of inverted lists that are counted at a time.
@@ -179,49 +179,59 @@ def candidates(home: Nodes, visitors: Nodes, own: bool, least: tuple[int, int] =
     return links
 
 
-def candidate_links(nodes: DataFrame, least: tuple[int, int] = LEAST, part_nodes: int = PART_NODES) -> DataFrame:
-    """Links ``a, b`` that connect all candidates among ``nodes`` (``print, n, band, bits``), a forest of each tile pair."""
-    sizes = nodes.groupBy("band").agg(F.count(F.lit(1)).alias("held")).select(F.col("band").alias("at"), F.greatest(F.lit(1), F.ceil(F.col("held") / part_nodes)).cast("int").alias("parts"))
-    # bands are logarithms of sizes, some hundred at most
-    sizes = F.broadcast(sizes)
-    row = ["print", "n", "bits"]
-    homes = nodes.join(sizes, F.col("band") == F.col("at")).select(*row, "band", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"))
-
-    def visiting(step: int) -> DataFrame:
-        met = nodes.withColumn("to", F.col("band") + step).join(sizes, F.col("to") == F.col("at"))
-        return met.select(*row, F.col("to").alias("band"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1 + step).alias("kind"))
+def candidate_links(nodes: DataFrame, least: tuple[int, int] = LEAST, part_nodes: int | None = None) -> DataFrame:
+    """Links ``a, b`` that connect all candidates among ``nodes`` (``print, n, band, bits``), a forest of each pair of parts.
 
-    dealt = homes.unionByName(visiting(0)).unionByName(visiting(1)).repartition("band", "part").sortWithinPartitions("band", "part", "kind")
+    A tile's nodes are dealt to parts of about ``part_nodes`` (by default ``1 / TASKS`` of all nodes within bounds), and each
+    pair of its parts, and of its parts and the smaller neighbour's, is one task, so tiles of any size are many like tasks.
+    """
+    part_nodes = part_nodes or min(MOST_NODES, max(LEAST_NODES, nodes.count() // TASKS))
+    # bands are logarithms of sizes, some hundred at most
+    sizes = F.broadcast(nodes.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / part_nodes).cast("int").alias("parts")))
+    at = lambda step, name: sizes.select((F.col("band") - step).alias(f"{name}_band"), F.col("parts").alias(f"{name}_parts"))
+    own, lower, upper = at(0, "own"), at(-1, "lower"), at(1, "upper")
+    met = nodes.join(own, F.col("band") == F.col("own_band")).withColumn("part", F.pmod(F.xxhash64("print"), F.col("own_parts")).cast("int"))
+    met = met.join(lower, F.col("band") == F.col("lower_band"), "left").join(upper, F.col("band") == F.col("upper_band"), "left")
+    to = lambda band, i, kind, j, role: F.struct(band.alias("band"), i.cast("int").alias("i"), F.lit(kind).alias("kind"), j.cast("int").alias("j"), role.cast("int").alias("role"))
+    part, each = F.col("part"), lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    within = F.transform(each("own_parts"), lambda k: to(F.col("band"), F.least(k, part), 0, F.greatest(k, part), part > k))
+    down = F.when(F.col("lower_parts").isNotNull(), F.transform(each("lower_parts"), lambda k: to(F.col("band"), part, 1, k, F.lit(0))))
+    up = F.when(F.col("upper_parts").isNotNull(), F.transform(each("upper_parts"), lambda k: to(F.col("band") + 1, k, 1, part, F.lit(1))))
+    none = F.slice(within, 1, 0)
+    dealt = met.select("print", "n", "bits", F.explode(F.concat(within, F.coalesce(down, none), F.coalesce(up, none))).alias("to")).select("print", "n", "bits", "to.*")
+    dealt = dealt.repartition("band", "i", "kind", "j").sortWithinPartitions("band", "i", "kind", "j", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home: list[tuple] = []
         visitors: list[tuple] = []
 
-        def compare(kind: int) -> Iterator[tuple]:
-            if home and visitors:
-                for a, b in candidates(Nodes(home), Nodes(visitors), kind == 1, least):
+        def compare(key: tuple) -> Iterator[tuple]:
+            own = key[2] == 0 and key[1] == key[3]
+            if home and (visitors or own):
+                first = Nodes(home)
+                for a, b in candidates(first, first if own else Nodes(visitors), own, least):
                     yield min(a, b), max(a, b)
+            home.clear()
             visitors.clear()
 
         def rows() -> Iterator[tuple]:
-            now, kind = None, 0
+            now = None
             for batch in batches:
-                names, sizes, band, part, kinds = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4, 5))
+                names, sizes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, WIDE)
-                keys = (band.astype(np.int64) << 32 | part) << 2 | kinds
-                edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+                keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3, 8)], 1)
+                edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
                 for a, b in zip(edges, edges[1:], strict=False):
                     if a == b:
                         continue
-                    if keys[a] >> 2 != now or keys[a] & 3 != kind:
-                        yield from compare(kind)
-                    if keys[a] >> 2 != now:
-                        home.clear()
-                    now, kind = keys[a] >> 2, int(keys[a] & 3)
-                    (visitors if kind else home).append((names[a:b], sizes[a:b], bits[a:b]))
-                    if sum(len(each[0]) for each in visitors) >= MOST_VISITORS:
-                        yield from compare(kind)
-            yield from compare(kind)
+                    *key, role = keys[a].tolist()
+                    if tuple(key) != now:
+                        if now:
+                            yield from compare(now)
+                        now = tuple(key)
+                    (visitors if role else home).append((names[a:b], sizes[a:b], bits[a:b]))
+            if now:
+                yield from compare(now)
 
         yield from batches_of(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]), 10_000)
 
@@ -316,7 +326,7 @@ def checked_links(cases: DataFrame, nodes: DataFrame, texts: DataFrame, words: i
     return stored(dealt.mapInArrow(compare, "a long, b long").distinct(), "simhash-links")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST, id_col: str = "doc_id", text_col: str = "text", part_nodes: int = PART_NODES, part_bytes: int = PART_BYTES) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST, id_col: str = "doc_id", text_col: str = "text", part_nodes: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row for each input row: ``doc_id, hashed`` (of the text), ``print`` (of the set), ``component_id`` (smallest identifier
     reachable over links of sufficient similarity) and ``class`` (the same value throughout a component)."""
     small_batches(docs.sparkSession)

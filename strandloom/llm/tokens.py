@@ -260,7 +260,7 @@ class WordEncoder:
 
     MARKS = b".,;:!?"
     #: Bytes of texts that are encoded at a time, but for a chunk that is longer.
-    SEGMENT = 4 << 20
+    SEGMENT = 1 << 20
     #: Pieces, and other chunks, from which on everything is forgotten.
     PIECES, OTHERS = 1 << 21, 1 << 18
 
