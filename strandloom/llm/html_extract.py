@@ -1,7 +1,7 @@
 """Main-text extraction by wrapper induction.
 
 Each page becomes a tree of block elements (inline markup and text stay inside their block). In wrappers a run of like
-siblings is one repeated node. Of each host a few pages, those with the smallest hashes, are aligned with each other by
+siblings is one repeated node. Of each host a few pages, chosen by their hashes, are aligned with each other by
 simple tree matching, and the one that matches the others best is the host's wrapper. Every page of the host is then
 aligned with it: a node whose own text is the same on all pages is constant, the other nodes are varying slots, and so is
 what a page has and the wrapper hasn't. Constant nodes are template; varying slots become content.
@@ -31,12 +31,12 @@ import functools
 import html as entities
 import json
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import batches_of, rows_of, small_batches, stored
@@ -84,7 +84,7 @@ class Block:
     def __init__(self, tag: str, words: frozenset[str] = frozenset(), noise: bool = False, weighed: bool = False, inline: bool = False) -> None:
         self.tag, self.noise, self.weighed, self.inline = tag, noise, weighed, inline
         # numbers of more digits count or date a page's own parts, they do not name a place of the layout
-        self.label = tag + "".join("." + word for word in sorted(words) if not word.isdigit() or len(word) < 3)
+        self.label = tag + "".join("." + word for word in sorted(words) if not word.isdigit() or len(word) < 3) if words else tag
         self.parts: list[str | Block] = []
         self.linked = 0
 
@@ -92,7 +92,13 @@ class Block:
         return [part for part in self.parts if isinstance(part, Block) and not part.inline]
 
     def own_text(self) -> str:
-        return " ".join(entities.unescape("".join(part for part in self.parts if isinstance(part, str))).split())
+        return _clean([part for part in self.parts if isinstance(part, str)])
+
+
+def _clean(parts: list[str]) -> str:
+    """Text without character references, runs of white space as one space."""
+    text = "".join(parts)
+    return " ".join((entities.unescape(text) if "&" in text else text).split())
 
 
 def in_order(root: Block) -> list[Block]:
@@ -121,12 +127,12 @@ def parse(page: str) -> Block:
     """The page's tree of block elements."""
     root = Block("html")
     stack, at, size = [root], 0, len(page)
-    tags = Counter(("html",))
+    tags = defaultdict(int, html=1)
     links, weighing = 0, False
 
     def close(k: int) -> None:
-        tags.subtract(block.tag for block in stack[k:])
-        del stack[k:]
+        while len(stack) > k:
+            tags[stack.pop().tag] -= 1
 
     def add(text: str) -> None:
         stack[-1].parts.append(text)
@@ -156,9 +162,11 @@ def parse(page: str) -> Block:
                     if tag in INLINE and not stack[k].inline or stack[k].tag in _BARRIERS and tag in _HELD:
                         break
             continue
-        words = frozenset(_WORD.findall(" ".join(filter(None, (m[2] or m[3] or m[4] for m in _ATTRIBUTE.finditer(attributes)))).lower())) if "=" in attributes else frozenset()
-        hidden = bool(attributes) and bool(_HIDDEN.search(attributes))
-        noise = tag in NOISE_TAGS or hidden or tag != "body" and not words.isdisjoint(NOISE_WORDS)
+        words, hidden = frozenset(), False
+        if attributes:
+            words = frozenset(_WORD.findall(" ".join(filter(None, (m[2] or m[3] or m[4] for m in _ATTRIBUTE.finditer(attributes)))).lower())) if "=" in attributes else words
+            hidden = bool(_HIDDEN.search(attributes))
+        noise = tag in NOISE_TAGS or hidden or bool(words) and tag != "body" and not words.isdisjoint(NOISE_WORDS)
         if tag in INLINE:
             if tag in ("br", "wbr", "img"):
                 stack[-1].parts.append(" " if tag == "br" else "")
@@ -174,11 +182,13 @@ def parse(page: str) -> Block:
             close(1)
         while len(stack) > 1 and (stack[-1].tag in _LINES or stack[-1].tag in _ENDS.get(tag, ()) or stack[-1].inline and stack[-2].tag in _LINES):
             close(len(stack) - 1)
-        inside = any(tags[each] for each in ARTICLES)
-        linked = tag != "body" and not noise and not words.isdisjoint(LINK_WORDS)
-        noise = noise or linked and not inside or tag == "header" and not any(tags[each] for each in SECTIONS)
-        weighing = weighing or linked and inside
-        block = Block(tag, words, noise, linked and inside)
+        weighed = False
+        if words and not noise and tag != "body" and not words.isdisjoint(LINK_WORDS):
+            weighed = any(tags[each] for each in ARTICLES)
+            noise, weighing = not weighed, weighing or weighed
+        if tag == "header" and not any(tags[each] for each in SECTIONS):
+            noise = True
+        block = Block(tag, words, noise, weighed)
         stack[-1].parts.append(block)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -403,7 +413,7 @@ def extract(page: Block, order: list[Slot], region: int, template: list[int]) ->
     held: list[str] = []
 
     def flush() -> None:
-        if text := " ".join(entities.unescape("".join(held)).split()):
+        if text := _clean(held):
             lines.append(text)
         held.clear()
 
@@ -430,10 +440,11 @@ def extract(page: Block, order: list[Slot], region: int, template: list[int]) ->
 
 
 def seeds(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, wrapper``: of each host's few pages with the smallest hashes, the wrapper of the one that matches the others best."""
+    """``host, wrapper``: of each host's few pages with the smallest hashes of their class, the wrapper of the one that matches the others best."""
     own = pages.select(F.coalesce(host_of(pages[url_col]), F.lit("")).alias("host"), F.coalesce(pages[html_col], F.lit("")).alias("html"))
-    marked = own.filter("html <> ''").select("host", F.xxhash64("html").alias("mark")).distinct()
-    first = marked.withColumn("nth", F.row_number().over(Window.partitionBy("host").orderBy("mark"))).filter(F.col("nth") <= SEEDS)
+    # the smallest hash of each class of hashes, by partial aggregation
+    mark = F.xxhash64("html")
+    first = own.filter("html <> ''").groupBy("host", F.pmod(mark, F.lit(SEEDS)).alias("class")).agg(F.min(mark).alias("mark"))
     first = bounded(stored(first.select(F.col("host").alias("of_host"), F.col("mark").alias("of_mark")), "page-marks"))
     met = own.join(first, (F.col("host") == F.col("of_host")) & (F.xxhash64("html") == F.col("of_mark")), "left_semi")
     schema = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
