@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.plans.storage import stored
 from strandloom.sources import reference as ref
 from strandloom.sources import vcf
 
-#: Positions of a derived contig, and those of its records.
-CONTIG, SPAN = 3010, 3000
+#: Positions of a derived contig, and those of its records; more than a bin or chunk of any operator holds.
+CONTIG, SPAN = 10_010, 10_000
 
 
 def base(p: str) -> str:
@@ -89,12 +90,21 @@ def _sql(spark: SparkSession, sf_dir: str, ctes: str, select: str) -> DataFrame:
     return spark.sql(text, **tables)
 
 
+def _lines(spark: SparkSession, sf_dir: str, ctes: str, select: str) -> DataFrame:
+    """Lines as a file would have them: written and read, so that what derives them isn't a part of each tool's expressions."""
+    return stored(_sql(spark, sf_dir, ctes, select), "lines")
+
+
+def call_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir, CALLS, CALL_LINES)
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vcf.parse_records(_sql(spark, sf_dir, CALLS, CALL_LINES))
+    return vcf.parse_records(call_lines(spark, sf_dir))
 
 
 def block_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vcf.parse_records(_sql(spark, sf_dir, BLOCKS, BLOCK_LINES), "region")
+    return vcf.parse_records(_lines(spark, sf_dir, BLOCKS, BLOCK_LINES), "region")
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,18 +112,20 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vcf.parse_records(_sql(spark, sf_dir, SAMPLES, SAMPLE_LINES), "multi", keep=("sample_id",))
+    return vcf.parse_records(_lines(spark, sf_dir, SAMPLES, SAMPLE_LINES), "multi", keep=("sample_id",))
 
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vcf.parse_records(_sql(spark, sf_dir, RANGES, RANGE_LINES), "multi").withColumn("sample_id", F.lit(0))
+    return vcf.parse_records(_lines(spark, sf_dir, RANGES, RANGE_LINES), "multi").withColumn("sample_id", F.lit(0))
 
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference of every contig that records lie on."""
     contigs = _sql(spark, sf_dir, CALLS, f"SELECT DISTINCT CAST(FLOOR(k / {SPAN}) AS BIGINT) AS chrom_idx, chrom FROM calls")
-    letters = F.transform(F.sequence(F.lit(1), F.lit(CONTIG)), lambda p: F.when(p % 97 == 0, F.lit("N")).otherwise(F.substr(F.lit("ACGT"), ((p * 7 + F.floor(p / 5)) % 4 + 1).cast("int"), F.lit(1))))
-    return ref.rechunked(contigs.select("chrom", "chrom_idx", F.lit(0).cast("long").alias("start"), F.array_join(letters, "").alias("seq")))
+    # the rule of base() repeats itself after 20 * 97 positions
+    unit = "".join("N" if p % 97 == 0 else "ACGT"[(p * 7 + p // 5) % 4] for p in range(1, 20 * 97 + 1))
+    letters = F.substr(F.repeat(F.lit(unit), CONTIG // len(unit) + 1), F.lit(1), F.lit(CONTIG))
+    return stored(ref.rechunked(contigs.select("chrom", "chrom_idx", F.lit(0).cast("long").alias("start"), letters.alias("seq"))), "reference")
 
 
 def depths(spark: SparkSession, sf_dir: str) -> DataFrame:

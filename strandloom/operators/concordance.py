@@ -17,8 +17,8 @@ TRIO = ("mother", "father", "child")
 
 def prepared(records: DataFrame, reference: DataFrame, options: S.CallOptions = S.CallOptions(), exclude: list[str] | None = None, region: tuple[str, int | None, int | None] | None = None, drop_overlaps: bool = False) -> DataFrame:
     """Sites of all samples on the (standardised) reference, without positions where it is N; unordered or overlapping records
-    are an error unless they are dropped."""
-    records = S.on_reference(S.without_chromosomes(records, exclude or []), reference)
+    are an error unless they are dropped, and positions beyond a contig always are."""
+    records = S.placed(S.on_reference(S.without_chromosomes(records, exclude or []), reference), reference, region)
     if drop_overlaps:
         names = records.columns
         records = S.murdock(S.with_locus(records).filter("NOT is_indel")).select(*names)

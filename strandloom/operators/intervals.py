@@ -17,7 +17,7 @@ from strandloom.plans.storage import stored
 from strandloom.sources import reference as ref
 
 #: Positions of a bin of the region join.
-WIDTH = 1 << 14
+WIDTH = 1 << 12
 HAPLOID_CONFLICT = "HAPLOID_CONFLICT"
 ORIGINAL_PL = "OPL"
 
@@ -50,8 +50,8 @@ def called_regions(records: DataFrame) -> DataFrame:
 def with_hits(records: DataFrame, regions: DataFrame, width: int = WIDTH) -> DataFrame:
     """Records with ``stop`` (their last position) and ``hits``: the merged regions that overlap POS to END, in order.
 
-    Records within one bin meet their regions by the join alone; those that cross bins are put together again by a
-    grouping on all their columns, among which ``line_no`` tells equal records apart.
+    Records within one bin meet their regions by the join alone; those that cross bins are put together again by their
+    place: ``line_no`` with the chromosome and position, and file and sample if there are several.
     """
     names = records.columns
     bins = F.sequence(F.floor(F.col("begin") / width), F.floor(F.col("end") / width))
@@ -67,8 +67,10 @@ def with_hits(records: DataFrame, regions: DataFrame, width: int = WIDTH) -> Dat
 
     single = met(own.filter("_first >= _last").withColumn("_bin", F.col("_first")))
     several = met(own.filter("_first < _last").withColumn("_bin", F.explode(F.sequence(F.col("_first"), F.col("_last")))))
-    several = several.groupBy(*names, "stop").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
-    return single.unionByName(several)
+    key = [c for c in ("sample_id", "file", "line_no", "chrom", "pos") if c in names]
+    row = F.first(F.struct(*names, "stop")).alias("_row")
+    several = several.groupBy(*key).agg(row, F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
+    return single.unionByName(several.select("_row.*", "hits"))
 
 
 def overlapping(records: DataFrame, regions: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def loci(records: DataFrame, reference: DataFrame, options: S.CallOptions = S.Ca
 
     Unordered or overlapping records are an error unless they are dropped.
     """
-    records = S.on_reference(S.without_chromosomes(records, exclude or []), reference)
+    records = S.placed(S.on_reference(S.without_chromosomes(records, exclude or []), reference), reference, region)
     if drop_overlaps:
         names = records.columns
         records = S.murdock(S.with_locus(records)).select(*names)

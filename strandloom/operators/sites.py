@@ -63,6 +63,17 @@ def on_reference(records: DataFrame, reference: DataFrame) -> DataFrame:
     return records.join(reference.select("chrom").distinct(), "chrom", "left_semi").select(*records.columns)
 
 
+def placed(records: DataFrame, reference: DataFrame, region: tuple[str, int | None, int | None] | None = None) -> DataFrame:
+    """The records; a position below 1, or beyond its contig where no region is asked for, is an error when it is read."""
+    sizes = ref.contigs(reference).select(F.col("chrom").alias("_sc"), F.col("size").alias("_size"))
+    met = records.join(sizes, F.col("chrom") == F.col("_sc"), "left")
+    bad = F.when(F.col("pos") < 1, F.lit("record position less than 1"))
+    if not region:
+        bad = bad.when(F.col("pos") > F.col("_size"), F.lit("record position beyond the end of its contig"))
+    pos = F.when(bad.isNull(), F.col("pos")).otherwise(F.raise_error(F.concat(bad, F.lit(": "), "chrom", F.lit(":"), F.col("pos").cast("string"))).cast("long"))
+    return met.withColumn("pos", pos.cast(records.schema["pos"].dataType)).select(*records.columns)
+
+
 def with_locus(records: DataFrame) -> DataFrame:
     """Records with ``is_indel``, ``n_sites`` (0 for indels and for a malformed END) and ``locus_end``, the last position."""
     indel = R.is_indel_site()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandloom import derived as D
+from strandloom.sources.reference import CHUNK
 
 _GQX = "CASE WHEN qual <> '.' AND gq <> '.' THEN least(TRY_CAST(qual AS INT), TRY_CAST(gq AS INT)) END"
 _FAILS = """list_filter([
@@ -26,11 +27,19 @@ ready AS (SELECT *, 'MQ=' || mq || ';QD=' || qd || ';FS=' || fs || ';DP=' || dpi
   gt IN ('', './.', '.', '0/0', '0') AND alt = '.' AND length(ref) = 1 AND NOT (CAST(ad0 AS DOUBLE) / dpi + 0.2 <= 1.0) AS blockable,
   TRY_CAST(dp AS INT) AS dpn FROM groomed)"""
 _READY = _GROOMED
-_ISLANDS = f"""{_READY}, w AS (SELECT *, coalesce(dpn <> 0, false) AS covered FROM ready),
+
+
+def _islands(ready: str) -> str:
+    return f"""{ready}, w AS (SELECT *, coalesce(dpn <> 0, false) AS covered FROM ready),
 x AS (SELECT *, CASE WHEN blockable AND lag(blockable) OVER o AND lag(pos) OVER o = pos - 1 AND lag(filters) OVER o = filters AND lag(gt) OVER o = gt AND lag(covered) OVER o = covered THEN 0 ELSE 1 END AS fresh FROM w WINDOW o AS (PARTITION BY chrom ORDER BY pos)),
 islands AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY pos) AS island FROM x)"""
-# the tolerance fold, a row at a time
-_BLOCKS = _ISLANDS.replace("WITH ", "WITH RECURSIVE ", 1) + """, rowed AS (SELECT *, row_number() OVER (PARTITION BY chrom, island ORDER BY pos) AS rn FROM islands WHERE blockable),
+
+
+_ISLANDS = _islands(_READY)
+
+
+#: The tolerance fold, a row at a time.
+_FOLD = """, rowed AS (SELECT *, row_number() OVER (PARTITION BY chrom, island ORDER BY pos) AS rn FROM islands WHERE blockable),
 fold AS (
   SELECT chrom, island, rn, pos, pos AS block, dpn AS f_dp, gqx AS f_gqx, mq AS f_mq, dpn AS lo_dp, dpn AS hi_dp, gqx AS lo_gqx, gqx AS hi_gqx, mq AS lo_mq, mq AS hi_mq FROM rowed WHERE rn = 1
   UNION ALL
@@ -60,7 +69,44 @@ def _tolerances(sql: str) -> str:
     return out + sql[at:]
 
 
-_BLOCKS = _tolerances(_BLOCKS)
+def _blocks(ready: str) -> str:
+    return _tolerances(_islands(ready).replace("WITH ", "WITH RECURSIVE ", 1) + _FOLD)
+
+
+_BLOCKS = _blocks(_READY)
+
+def _settled(deep: str, depths: str = "") -> str:
+    """Groomed records after those around indels were made consistent, as ``ready``; ``deep`` says whether a record is too deep."""
+    labels = "list_concat(CASE WHEN {gqx} IS NULL OR {gqx} < 20 THEN ['LowGQX'] ELSE [] END, CASE WHEN deep THEN ['MaxDepth'] ELSE [] END, fails)"
+    return f"""{_CALLS}{depths}, g0 AS (SELECT *, {deep} AS deep, {_FAILS.replace('MQ_UP', '1')} AS fails FROM k{' JOIN d USING (chrom)' if depths else ''}),
+g1 AS (SELECT *, {labels.format(gqx='gqx')} AS given FROM g0),
+g2 AS (SELECT *, CASE WHEN len(given) > 0 THEN list_concat(CASE WHEN filter IN ('PASS', '.') THEN [] ELSE [filter] END, given) WHEN filter = '.' THEN ['PASS'] ELSE [filter] END AS f0, CASE WHEN indel THEN pos + length(ref) - 1 END AS fin FROM g1),
+u AS (SELECT *, max(fin) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g2),
+v AS (SELECT *, sum(CASE WHEN indel AND (reach IS NULL OR pos + 2 > reach) THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS buffer, indel OR coalesce(pos <= reach, false) AS buffered FROM u),
+grp AS (SELECT chrom, buffer, count(*) FILTER (buffered) AS members, count(*) FILTER (indel) AS indels, count(*) FILTER (NOT buffered) AS behind, min(pos) FILTER (indel) AS open_pos, max(greatest(fin, coalesce(reach, fin))) FILTER (indel) AS span_end,
+  arg_min(f0, pos) FILTER (indel) AS sole_f, arg_min(gt, pos) FILTER (indel) AS sole_gt FROM v WHERE buffer > 0 GROUP BY chrom, buffer),
+lst AS (SELECT chrom, max(buffer) AS buffer FROM grp GROUP BY chrom),
+jdg AS (SELECT grp.* FROM grp JOIN lst USING (chrom) WHERE members > 1 AND (behind > 0 OR grp.buffer = lst.buffer)),
+w1 AS (SELECT v.*, coalesce(v.buffered AND v.pos BETWEEN j.open_pos + 1 AND j.span_end, false) AS change, j.indels = 1 AS one, j.sole_f, j.indels = 1 AND j.sole_gt IN ('0/1', '1/0') AS half FROM v LEFT JOIN jdg j ON v.chrom = j.chrom AND v.buffer = j.buffer),
+w2 AS (SELECT *, change AND half AND gt IN ('0/0', '1/1') AS hap, change AND half AND gt = '0/1' AS conf FROM w1),
+w3 AS (SELECT *, change AND NOT hap AS unk, CASE WHEN change THEN list_filter(list_concat(CASE WHEN NOT one THEN ['IndelConflict'] WHEN sole_f = ['PASS'] THEN [] ELSE sole_f END, CASE WHEN conf THEN ['SiteConflict'] ELSE [] END), lambda l: NOT list_contains(f0, l)) ELSE [] END AS more FROM w2),
+w4 AS (SELECT *, CASE WHEN len(more) > 0 THEN list_concat(CASE WHEN f0 = ['PASS'] THEN [] ELSE f0 END, more) ELSE f0 END AS f1, CASE WHEN NOT unk THEN gqx END AS gqx2 FROM w3),
+w5 AS (SELECT *, {labels.format(gqx='gqx2')} AS again FROM w4),
+ready AS (SELECT line_no, chrom, pos, ref, alt, CASE WHEN unk THEN '.' ELSE qual END AS qual, indel, gqx2 AS gqx, CASE WHEN unk THEN '.' WHEN hap THEN gt[1] ELSE gt END AS gt, TRY_CAST(dp AS INT) AS dpn, mq + 1 AS mq,
+  CASE WHEN NOT change OR len(again) = 0 THEN f1 ELSE list_concat(CASE WHEN f1 = ['PASS'] THEN [] ELSE f1 END, list_filter(again, lambda l: NOT list_contains(f1, l))) END AS filters,
+  'MQ=' || (mq + 1) || ';QD=' || qd || ';FS=' || fs || ';DP=' || dpi AS info,
+  'GT' || CASE WHEN unk THEN '' ELSE ':GQ' END || ':DP:AD' || CASE WHEN change THEN '' ELSE ':PL' END || ':MQ' AS format,
+  CASE WHEN unk THEN '.' WHEN hap THEN gt[1] ELSE gt END || CASE WHEN unk THEN '' ELSE ':' || gq END || ':' || dp || ':' || ad0 || ',1' || CASE WHEN change THEN '' ELSE ':9' END || ':' || (mq + 1) AS sample,
+  (unk OR hap AND gt = '0/0' OR NOT change AND gt IN ('./.', '0/0')) AND alt = '.' AND length(ref) = 1 AND NOT (CAST(ad0 AS DOUBLE) / dpi + 0.2 <= 1.0) AS blockable FROM w5)"""
+
+
+_BUFFER_GROOM = _settled("false") + """ SELECT chrom || chr(9) || pos || chr(9) || '.' || chr(9) || ref || chr(9) || alt || chr(9) || qual || chr(9) || array_to_string(filters, ';') || chr(9) || info || chr(9) || format || chr(9) || sample AS line FROM ready"""
+_BLOCK_VCF = _blocks(_settled("coalesce(TRY_CAST(dp AS INT) > depth * 3, false)", ", d AS (SELECT chrom, 10 + max(k) % 3 AS depth FROM k GROUP BY chrom)")) + """,
+b AS (SELECT chrom, block, arg_min(ref, pos) AS ref, arg_min(filters, pos) AS filters, arg_min(gt, pos) AS gt, bool_or(covered) AS covered, count(*) AS size, count(dpn) AS n_dp, count(gqx) AS n_gqx, count(mq) AS n_mq, min(dpn) AS dpn, min(gqx) AS gqx, min(mq) AS mq FROM placed GROUP BY chrom, island, block),
+c2 AS (SELECT *, list_concat(CASE WHEN size > 1 THEN ['END=' || (block + size - 1)] ELSE [] END, CASE WHEN covered AND (n_dp > 1 OR n_gqx > 1 OR n_mq > 1) THEN ['BLOCKAVG_min30p3a'] ELSE [] END) AS items FROM b)
+SELECT chrom || chr(9) || pos || chr(9) || '.' || chr(9) || ref || chr(9) || alt || chr(9) || qual || chr(9) || array_to_string(filters, ';') || chr(9) || info || chr(9) || format || CASE WHEN gqx IS NULL THEN '' ELSE ':GQX' END || chr(9) || sample || CASE WHEN gqx IS NULL THEN '' ELSE ':' || gqx END AS line FROM ready WHERE NOT blockable
+UNION ALL SELECT chrom || chr(9) || block || chr(9) || '.' || chr(9) || ref || chr(9) || '.' || chr(9) || '.' || chr(9) || array_to_string(filters, ';') || chr(9) || CASE WHEN len(items) = 0 THEN '.' ELSE array_to_string(items, ';') END || chr(9) || CASE WHEN covered THEN 'GT:DP:GQX:MQ' ELSE 'GT' END || chr(9) || gt || CASE WHEN covered THEN ':' || coalesce('' || dpn, '.') || ':' || coalesce('' || gqx, '.') || ':' || coalesce('' || mq, '.') ELSE '' END FROM c2"""
+
 _MERGED = f"""{D.REGIONS}, mark AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY begin, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM regions),
 num AS (SELECT *, sum(CASE WHEN reach IS NULL OR begin > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY begin, "end" ROWS UNBOUNDED PRECEDING) AS island FROM mark),
 merged AS (SELECT chrom, min(begin) AS begin, max("end") AS "end" FROM num GROUP BY chrom, island)"""
@@ -124,6 +170,53 @@ labels AS (SELECT chrom, pos, indel, string_agg(label, ';' ORDER BY place) AS fi
 _GENOTYPES = " || chr(9) || ".join(f"CASE WHEN g{k} IS NULL THEN '.' WHEN order0 = 0 THEN g{k} || ':' || q{k} || ':' || d{k} ELSE g{k} || ':' || d{k} || ':' || q{k} END" for k in range(3))
 
 
+_TWIN_LINES = f"""WITH r AS ({_report(2, ("twin1", "twin2"))}),
+s AS (SELECT count(*) * {D.CONTIG} AS size, count(*) * ({D.CONTIG} - {D.CONTIG} // 97) AS known FROM (SELECT DISTINCT floor(l_orderkey / {D.SPAN}) FROM lineitem)),
+v AS (SELECT size, known, map_from_entries((SELECT list((metric, value)) FROM r)) AS m FROM s),
+q AS (SELECT *, m['snp_correct'] + m['incorrect'] AS snps FROM v)
+"""
+
+
+def _twin_lines() -> str:
+    """The twins' report as text, from its counters."""
+    names = ("twin1", "twin2")
+
+    def of(name: str) -> str:
+        return f"m['{name}']"
+
+    def ratio(n: str, d: str) -> str:
+        return f"format('{{:g}}', CASE WHEN {d} = 0 THEN 0.0::DOUBLE ELSE ({n}) / CAST({d} AS DOUBLE) END)"
+
+    def hets(het: str, hom: str) -> str:
+        return f"({het} + {hom}) || ' ' || {het} || ' ' || {hom} || ' ' || {ratio(het, hom)} || ' ' || {ratio(het, f'({het} + {hom})')}"
+
+    lines = [("sites", "'' || size"), ("known_sites", "'' || known")]
+    for kind in ("mapped", "called"):
+        lines += [(f"sites_{kind}_{name}", f"'' || {of(f'{kind}_{name}')}") for name in names]
+        some, both = of(f"some_{kind}"), of(f"all_{kind}")
+        lines += [(f"sites_{kind}_in_no_samples", f"'' || (known - {some} - {both})"), (f"sites_{kind}_in_some_samples", f"'' || {some}"), (f"sites_{kind}_in_all_samples", f"'' || {both}")]
+    lines += [("sites_called_in_all_samples_conflict", f"'' || {of('incorrect')}"), ("fraction_of_known_sites_called_in_all_samples", ratio(of("all_called"), "known"))]
+    lines += [("fraction_of_sites_called_in_all_samples_in_conflict", ratio(of("incorrect"), of("all_called")))]
+    for name in names:
+        lines.append((f"sites_with_snps_called_total_het_hom_het/hom_P(het)_{name}", hets(of(f"snp_het_{name}"), f"({of(f'snp_{name}')} - {of(f'snp_het_{name}')})")))
+        lines.append((f"snp_non_conflict_total_het_hom_het/hom_P(het)_{name}", hets(of(f"correct_het_{name}"), of(f"correct_hom_{name}"))))
+    lines += [("sites_called_in_all_samples_with_snps_called_any_sample", "'' || snps"), ("fraction_of_snp_sites_in_conflict", ratio(of("incorrect"), "snps"))]
+    for label, kind in (("snp_conflict_type", "conflict"), ("snp_non_conflict_type", "agree")):
+        lines += [(f"{label}_{state}", f"'' || {of(f'{kind}_{state}')}") for state in ("samehom", "diffhom", "samehet", "diffhet", "homhet")]
+    return _TWIN_LINES + " UNION ALL ".join(f"SELECT '{metric}' AS metric, {value} AS value FROM q" for metric, value in lines)
+
+
+_RAW = ", ".join(f"max(CASE WHEN l.sample_id = {k} THEN l.value END) AS r{k}" for k in range(3))
+_TRIO_EVENTS = f"""{_TRIO}, l AS ({D.SAMPLE_LINES}),
+b AS (SELECT j.chrom, j.pos, {_RAW} FROM judged j JOIN okay o ON o.chrom = j.chrom AND o.pos = j.pos AND NOT o.indel JOIN l ON l.line_no = o.line_no AND l.sample_id = o.sample_id WHERE bad GROUP BY j.chrom, j.pos)
+SELECT 'EVENT' || chr(9) || chrom || chr(9) || pos AS value FROM b UNION ALL SELECT 'mother' || chr(9) || chr(9) || r0 FROM b UNION ALL SELECT 'father' || chr(9) || chr(9) || r1 FROM b UNION ALL SELECT 'child' || chr(9) || chr(9) || r2 FROM b"""
+_FASTA = f"""WITH c AS (SELECT DISTINCT CAST(floor(l_orderkey / {D.SPAN}) AS BIGINT) AS chrom_idx FROM lineitem), p AS (SELECT chrom_idx, unnest(range(1, {D.CONTIG} + 1)) AS p FROM c)
+SELECT 'chr' || (chrom_idx + 1) AS chrom, chrom_idx, (p - 1) // {CHUNK} AS chunk, min(p) - 1 AS start, string_agg({D.base('p')}, '' ORDER BY p) AS seq FROM p GROUP BY chrom_idx, (p - 1) // {CHUNK}"""
+_AVERAGE_DEPTH = """WITH reads AS (SELECT event_id % 90 + 10 + CASE WHEN user_id % 3 = 0 THEN user_id % 50 + 1 ELSE 0 END AS aligned, row_number() OVER (ORDER BY event_id) AS rn FROM events WHERE (user_id % 8) & 4 = 0 AND event_id % 11 <> 0),
+m AS (SELECT count(*) AS n, avg(aligned) AS length FROM reads WHERE rn <= 200000)
+SELECT 'chr' || s_suppkey AS chrom, round(s_suppkey * 5 * length / (s_suppkey * 17 + 10), 6) AS depth, n AS n_reads FROM supplier, m WHERE s_suppkey * 17 + 10 >= length"""
+
+
 def oracle_sql() -> dict[str, str]:
     gt_variant = "alt <> '.' AND (gt LIKE '%1%')"
     line = f"SELECT {_LINE} AS line FROM calls"
@@ -143,6 +236,8 @@ def oracle_sql() -> dict[str, str]:
         "skip_repeats": f"{_CALLS} SELECT line_no, chrom, pos FROM k UNION ALL SELECT line_no + 1000000000, chrom, pos FROM k WHERE indel",
         "blockable": f"{_READY} SELECT line_no, blockable FROM ready",
         "indel_buffers": f"{_BUFFERS} SELECT line_no, CAST(buffer AS BIGINT) AS buffer, buffered FROM v",
+        "indel_buffer_groom": _BUFFER_GROOM,
+        "block_vcf": _BLOCK_VCF,
         "block_islands": f"{_ISLANDS} SELECT chrom, min(pos) AS begin, max(pos) AS \"end\", count(*) AS n FROM islands WHERE blockable GROUP BY chrom, island",
         "block_compress": f"{_BLOCKS} SELECT chrom, block AS begin, count(*) AS size, any_value(array_to_string(filters, ';')) AS filters, any_value(gt) AS gt, CAST(min(dpn) AS DOUBLE) AS min_dp, CAST(min(gqx) AS DOUBLE) AS min_gqx, CAST(min(mq) AS INT) AS min_mq, count(gqx) AS n_gqx FROM placed GROUP BY chrom, island, block",
         "block_stats": f"{_BLOCKS}, b AS (SELECT count(*) AS size, count(dpn) AS n_dp, stddev_samp(dpn) / sqrt(count(dpn)) AS se FROM placed WHERE covered GROUP BY chrom, island, block) SELECT count(*) AS blocks, round(avg(size), 6) AS size_mean, round(stddev_samp(size), 6) AS size_sd, min(size) AS size_min, max(size) AS size_max, round(avg(se) FILTER (n_dp >= 5), 6) AS mean_se_dp FROM b",
@@ -174,8 +269,21 @@ SELECT line_no, chrom, pos FROM f WHERE kept""",
         "trio_samehet": f"{_TRIO} SELECT chrom, pos FROM judged WHERE {_HETS} AND x2 <> y2 AND x0 = x1 AND x0 = x2 AND y0 = y1 AND y0 = y2",
         "trio_hethethom": f"{_TRIO} SELECT chrom, pos FROM judged WHERE {_HETS} AND x2 = y2 AND x2 <> b",
         "merge_variants": f"{_MERGE} SELECT l.chrom || chr(9) || l.pos || chr(9) || '.' || chr(9) || CASE WHEN l.indel THEN ref ELSE b END || chr(9) || coalesce(alt, '.') || chr(9) || '.' || chr(9) || coalesce(f.filter, 'PASS') || chr(9) || '.' || chr(9) || CASE WHEN order0 = 0 THEN 'GT:GQX:DP' ELSE 'GT:DP:GQX' END || chr(9) || {_GENOTYPES} AS line FROM loci l LEFT JOIN labels f ON l.chrom = f.chrom AND l.pos = f.pos AND l.indel = f.indel WHERE l.indel OR (b <> 'N' AND varies)",
-        "avg_chrom_depth": """WITH reads AS (SELECT event_id % 90 + 10 + CASE WHEN user_id % 3 = 0 THEN user_id % 50 + 1 ELSE 0 END AS aligned, row_number() OVER (ORDER BY event_id) AS rn FROM events WHERE (user_id % 8) & 4 = 0 AND event_id % 11 <> 0),
-m AS (SELECT count(*) AS n, avg(aligned) AS length FROM reads WHERE rn <= 200000)
-SELECT 'chr' || s_suppkey AS chrom, round(s_suppkey * 5 * length / (s_suppkey * 17 + 10), 6) AS depth, n AS n_reads FROM supplier, m WHERE s_suppkey * 17 + 10 >= length""",
+        "avg_chrom_depth": _AVERAGE_DEPTH,
+        "vcf_scan": f"WITH {D.CALLS} SELECT line, 'S1' AS sample_name FROM ({line})",
+        "vcf_gzip_scan": f"WITH {D.CALLS} {line}",
+        "vcf_region_scan": f"WITH {D.CALLS} SELECT line_no, chrom, pos FROM calls WHERE chrom = 'chr1' AND pos <= 9300 AND pos + length(ref) - 1 >= 8000",
+        "vcf_chromosomes": f"WITH {D.CALLS} SELECT DISTINCT chrom FROM calls",
+        "raw_scan": f"WITH {D.CALLS} {line} WHERE {gt_variant}",
+        "fasta_scan": _FASTA,
+        "bed_scan": f'WITH {_MERGED} SELECT chrom, begin, "end" FROM merged',
+        "on_reference": f"WITH {D.CALLS} SELECT line_no, chrom, pos FROM calls WHERE chrom = 'chr1'",
+        "without_chromosomes": f"WITH {D.CALLS} SELECT line_no, chrom, pos FROM calls WHERE chrom <> 'chr1'",
+        "write_gqx": f"{_READY} SELECT line_no, 'GT:GQ:DP:AD:PL:MQ' || CASE WHEN gqx IS NULL THEN '' ELSE ':GQX' END AS format, gt || ':' || gq || ':' || dp || ':' || ad0 || ',1:9:' || mq || CASE WHEN gqx IS NULL THEN '' ELSE ':' || gqx END AS sample FROM ready",
+        "twins_lines": _twin_lines(),
+        "trio_events": _TRIO_EVENTS,
+        "text_helpers": "SELECT s_suppkey, s_suppkey || '.vcf' AS name, '' || (s_suppkey - 5) AS text, s_suppkey % 3 = 1 AS has, round(CASE WHEN s_suppkey % 4 = 0 THEN 0.0 ELSE s_suppkey / CAST(s_suppkey % 4 AS DOUBLE) END, 9) AS ratio FROM supplier",
+        "avg_depth_of_first_reads": _AVERAGE_DEPTH.replace("200000", "100"),
+        "stream_variants": f"WITH {D.CALLS} {line} WHERE {gt_variant}",
         "chrom_depth_scan": "SELECT 'chr' || o_custkey % 25 AS chrom, CAST(arg_max(o_orderkey % 50, o_orderkey) AS DOUBLE) AS depth FROM orders GROUP BY o_custkey % 25",
     }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Positions of a bin.
-BIN = 1 << 16
+BIN = 1 << 13
 
 
 def binned(df: DataFrame, place: str, width: int = BIN) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,11 @@ from strandloom.functions import records as R
 from strandloom.operators import blocks, concordance, depth, filters, intervals, merge, sites
 from strandloom.operators.filters import BlockOptions
 from strandloom.operators.sites import CallOptions, InfoLimit
-from strandloom.plans.storage import stored
+from strandloom.plans.storage import shared_dir, stored
 from strandloom.sources import reference as ref
 from strandloom.sources import regions as regions_io
 from strandloom.sources import vcf
+from strandloom.streaming import tools as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -231,12 +233,16 @@ def merge_variants(spark: SparkSession, sf: str) -> DataFrame:
     return merge.merge_variants(D.samples(spark, sf), D.reference(spark, sf), 3, CALLED).select(merge.line_of().alias("line"))
 
 
-def avg_chrom_depth(spark: SparkSession, sf: str) -> DataFrame:
+def _average_depth(spark: SparkSession, sf: str, most_reads: int = 200_000) -> DataFrame:
     reads = spark.read.parquet(f"{sf}/events.parquet")
     cigar = F.concat((F.col("event_id") % 90 + 10).cast("string"), F.lit("M"), F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("2I"), (F.col("user_id") % 50 + 1).cast("string"), F.lit("M"))).otherwise("1S"))
     alignments = reads.select(F.col("event_id").alias("line_no"), (F.col("user_id") % 8).cast("int").alias("flag"), F.when(F.col("event_id") % 11 == 0, F.lit("*")).otherwise(cigar).alias("cigar"))
     stats = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("chr"), F.col("s_suppkey").cast("string")).alias("chrom"), (F.col("s_suppkey") * 17 + 10).alias("size"), (F.col("s_suppkey") * 5).alias("mapped"))
-    return depth.average_depth(stats, alignments).select("chrom", F.round("depth", 6).alias("depth"), "n_reads")
+    return depth.average_depth(stats, alignments, most_reads).select("chrom", F.round("depth", 6).alias("depth"), "n_reads")
+
+
+def avg_chrom_depth(spark: SparkSession, sf: str) -> DataFrame:
+    return _average_depth(spark, sf)
 
 
 def chrom_depth_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,6 +250,102 @@ def chrom_depth_scan(spark: SparkSession, sf: str) -> DataFrame:
     return regions_io.parse_chrom_depth(lines)
 
 
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
+
+
+HEADER = ["##fileformat=VCFv4.1", "##source=derived", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"]
+
+
+def vcf_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Written with a header and read again, with the header's sample name."""
+    vcf.write_vcf(D.calls(spark, sf), path := _path(spark, "calls"), HEADER)
+    head, records = vcf.read_vcf(spark, path)
+    return _line(records).withColumn("sample_name", F.lit(vcf.sample_name(head)))
+
+
+def vcf_gzip_scan(spark: SparkSession, sf: str) -> DataFrame:
+    D.call_lines(spark, sf).select("value").write.option("compression", "gzip").text(path := _path(spark, "gzip"))
+    return _line(vcf.read_vcf(spark, path)[1])
+
+
+def vcf_region_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """From Parquet by chromosome; the region's conditions reach the scan."""
+    vcf.to_parquet(D.calls(spark, sf), path := _path(spark, "indexed"))
+    return vcf.in_region(spark.read.parquet(path), "chr1:8000-9,300").select("line_no", "chrom", "pos")
+
+
+def vcf_chromosomes(spark: SparkSession, sf: str) -> DataFrame:
+    return vcf.chromosomes(D.calls(spark, sf))
+
+
+def raw_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The variants' own lines, written and read as text."""
+    vcf.write_raw(intervals.extract_variants(D.calls(spark, sf)), path := _path(spark, "raw"))
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def fasta_scan(spark: SparkSession, sf: str) -> DataFrame:
+    ref.write_fasta(D.reference(spark, sf), path := _path(spark, "fasta"), width=64)
+    return ref.read_fasta(spark, path).select("chrom", "chrom_idx", "chunk", "start", "seq")
+
+
+def bed_scan(spark: SparkSession, sf: str) -> DataFrame:
+    regions_io.write_bed(D.regions(spark, sf), path := _path(spark, "bed"))
+    return intervals.merge_regions(regions_io.read_bed(spark, path))
+
+
+def on_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of contigs that the reference has."""
+    return sites.on_reference(D.calls(spark, sf), D.reference(spark, sf).filter("chrom_idx = 0")).select("line_no", "chrom", "pos")
+
+
+def without_chromosomes(spark: SparkSession, sf: str) -> DataFrame:
+    return sites.without_chromosomes(D.calls(spark, sf), ["chr1", "chr77"]).select("line_no", "chrom", "pos")
+
+
+def write_gqx(spark: SparkSession, sf: str) -> DataFrame:
+    return filters.write_gqx(filters.groom(D.calls(spark, sf))).select("line_no", F.array_join("format", ":").alias("format"), F.array_join("sample", ":").alias("sample"))
+
+
+def twins_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The report's text, numbers as they are printed."""
+    reference = D.reference(spark, sf)
+    row = concordance.twins(D.samples(spark, sf).filter("sample_id < 2"), reference, CALLED)[1].first().asDict()
+    size = ref.known_size(reference).first()
+    return concordance.report_frame(spark, concordance.report(row, size["size"], size["known"], concordance.TWINS, trio=False)).select("metric", "value")
+
+
+def trio_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The conflicts' event file, written and read again."""
+    bad = _trio(spark, sf).filter("all_called AND NOT consistent")
+    vcf.write_lines(concordance.event_lines(bad, concordance.TRIO), path := _path(spark, "events"), ["chrom", "pos", "k"])
+    return spark.read.text(path).select("value")
+
+
+def text_helpers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/supplier.parquet")
+    path = F.concat(F.lit("/a/b/"), F.col("s_suppkey").cast("string"), F.lit(".vcf"))
+    has = R.split_match(F.concat(F.lit("x;"), (F.col("s_suppkey") % 3).cast("string")), ";", "1")
+    return rows.select("s_suppkey", R.basename(path).alias("name"), R.int_text(F.col("s_suppkey") - 5).alias("text"), has.alias("has"), F.round(R.ratio(F.col("s_suppkey"), F.col("s_suppkey") % 4), 9).alias("ratio"))
+
+
+def avg_depth_of_first_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """The estimate from the first hundred reads: its limit is part of the operator."""
+    return _average_depth(spark, sf, 100)
+
+
+def stream_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Variants extracted by a stream of several micro-batches."""
+    D.call_lines(spark, sf).repartition(3).write.parquet(source := _path(spark, "stream-in"))
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    found = _line(streams.extract_variants(vcf.parse_records(stream)))
+    out = _path(spark, "stream-out")
+    query = found.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").option("path", out).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
 def queries() -> dict[str, Query]:
     names = [
         extract_variants, extract_nonvariants, record_predicates, parse_gt, numeric_parse, gqx_derive, field_edits, threshold_filters, depth_filter, groom,
@@ -251,5 +353,7 @@ def queries() -> dict[str, Query]:
         called_regions, region_overlap, region_pieces, remove_region, break_blocks, break_blocks_on_target, set_haploid, check_reference, ref_standardize,
         reference_sizes, site_expand, site_expand_region, call_predicate, murdock_dedupe, order_conflicts, twins_report, trio_report, trio_conflicts,
         trio_samehet, trio_hethethom, merge_variants, avg_chrom_depth, chrom_depth_scan,
+        vcf_scan, vcf_gzip_scan, vcf_region_scan, vcf_chromosomes, raw_scan, fasta_scan, bed_scan, on_reference, without_chromosomes, write_gqx, twins_lines, trio_events, text_helpers,
+        avg_depth_of_first_reads, stream_variants,
     ]
     return {query.__name__: query for query in names}

@@ -8,6 +8,12 @@ from strandloom.operators.filters import BlockOptions
 FORMAT_MQ = '##FORMAT=<ID=MQ,Number=1,Type=Integer,Description="RMS Mapping Quality">'
 FORMAT_GQX = '##FORMAT=<ID=GQX,Number=1,Type=Integer,Description="Minimum of {Genotype quality assuming variant position,Genotype quality assuming non-variant position}">'
 INFO_END = '##INFO=<ID=END,Number=1,Type=Integer,Description="End position of the region described in this record">'
+INFO_BLOCK = '##INFO=<ID={label},Number=0,Type=Flag,Description="Non-variant site block. All sites in a block are constrained to be non-variant, have the same filter value, and have all sample values in range [x,y] , y <= max(x+3,(x*(1+{factor:g}))). All printed site block sample values are the minimum observed in the region spanned by the block">'
+FILTER_INDEL_CONFLICT = '##FILTER=<ID={label},Description="Locus is in region with conflicting indel calls.">'
+FILTER_SITE_CONFLICT = '##FILTER=<ID={label},Description="Site genotype conflicts with proximal indel call. This is typically a heterozygous SNV call made inside of a heterozygous deletion.">'
+FILTER_DEPTH = '##FILTER=<ID={label},Description="Site depth is greater than {factor}x the mean chromosome depth">'
+FILTER_HAPLOID = '##FILTER=<ID=HAPLOID_CONFLICT,Description="Locus has heterozygous genotype in a haploid region.">'
+FORMAT_OPL = '##FORMAT=<ID=OPL,Number=.,Type=Integer,Description="Original PL value before conversion to haploid genotype">'
 #: Lines that mention one of these are dropped before blocks are written.
 DROPPED = ("INFO=<ID=AC", "INFO=<ID=AF", "INFO=<ID=AN")
 
@@ -35,20 +41,16 @@ def block_lines(options: BlockOptions, depths: dict[str, float] | None = None) -
         return f'##FILTER=<ID={label},Description="{kind} {tag} is {"greater" if is_max else "less"} than {threshold}{" or not present" if if_missing else ""}">'
 
     kinds = {"SITE": "Site", "INDEL": "Indel", "BOTH": "Locus"}
-    block = (
-        "Non-variant site block. All sites in a block are constrained to be non-variant, have the same filter value, and have all sample values in range [x,y] , "
-        f"y <= max(x+3,(x*(1+{options.range_factor:g}))). All printed site block sample values are the minimum observed in the region spanned by the block"
-    )
     out = [
         INFO_END,
-        f'##INFO=<ID={options.label},Number=0,Type=Flag,Description="{block}">',
+        INFO_BLOCK.format(label=options.label, factor=options.range_factor),
         FORMAT_MQ,
         FORMAT_GQX,
-        f'##FILTER=<ID={options.indel_conflict},Description="Locus is in region with conflicting indel calls.">',
-        f'##FILTER=<ID={options.site_conflict},Description="Site genotype conflicts with proximal indel call. This is typically a heterozygous SNV call made inside of a heterozygous deletion.">',
+        FILTER_INDEL_CONFLICT.format(label=options.indel_conflict),
+        FILTER_SITE_CONFLICT.format(label=options.site_conflict),
     ]
     if depths:
-        out.append(f'##FILTER=<ID={options.max_depth_label},Description="Site depth is greater than {options.max_depth_factor}x the mean chromosome depth">')
+        out.append(FILTER_DEPTH.format(label=options.max_depth_label, factor=options.max_depth_factor))
         out += [f"##{options.max_depth_label}_{chrom}={depth * float(options.max_depth_factor):g}" for chrom, depth in sorted(depths.items())]
     if options.min_gqx is not None:
         out.append(filter_line(options.gqx_label, "Locus", "GQX", False, options.min_gqx, True))
@@ -56,7 +58,4 @@ def block_lines(options: BlockOptions, depths: dict[str, float] | None = None) -
 
 
 def haploid_lines() -> list[str]:
-    return [
-        '##FILTER=<ID=HAPLOID_CONFLICT,Description="Locus has heterozygous genotype in a haploid region.">',
-        '##FORMAT=<ID=OPL,Number=.,Type=Integer,Description="Original PL value before conversion to haploid genotype">',
-    ]
+    return [FILTER_HAPLOID, FORMAT_OPL]

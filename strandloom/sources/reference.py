@@ -11,7 +11,7 @@ from pyspark.sql import Window
 
 from strandloom.functions import records as R
 
-CHUNK = 1 << 16
+CHUNK = 1 << 13
 SCHEMA = "chrom string, chrom_idx long, chunk long, start long, seq string"
 
 
@@ -107,6 +107,14 @@ def with_slice(rows: DataFrame, reference: DataFrame, key: list[str], length: Co
     """``rows`` with the reference from a position on; shorter at a contig's end, null if the contig or the place is missing."""
     ref = reference.select(F.col("chrom").alias("_rc"), F.col("chunk").alias("_rk"), F.col("start").alias("_rs"), F.col("seq").alias("_rq"))
     sized = rows.withColumn("_n", length)
+    first, last = F.floor((F.col(pos) - 1) / chunk), F.floor((F.col(pos) - 2 + F.greatest("_n", F.lit(1))) / chunk)
+    # nearly all rows lie in one chunk, which one join gives
+    inside = F.coalesce(first == last, F.lit(True))
+    one = sized.filter(inside).join(ref, (F.col(chrom) == F.col("_rc")) & (first == F.col("_rk")), "left")
+    whole = F.substr("_rq", (F.col(pos) - F.col("_rs")).cast("int"), F.col("_n").cast("int"))
+    one = one.withColumn(name, F.when((F.col(pos) >= 1) & (whole != ""), whole)).drop("_n", "_rc", "_rk", "_rs", "_rq")
+    sized = sized.filter(~inside)
+    rows = sized.drop("_n")
     spread = sized.withColumn("_k", F.explode(F.sequence(F.floor((F.col(pos) - 1) / chunk), F.floor((F.col(pos) - 2 + F.greatest("_n", F.lit(1))) / chunk))))
     joined = spread.join(ref, (F.col(chrom) == F.col("_rc")) & (F.col("_k") == F.col("_rk")), "left")
     low = F.greatest(F.col(pos) - 1, F.col("_rs"))
@@ -117,7 +125,7 @@ def with_slice(rows: DataFrame, reference: DataFrame, key: list[str], length: Co
     for k in key:
         each = F.col(k).eqNullSafe(F.col(f"_{k}"))
         same = each if same is None else same & each
-    return rows.join(pieces, same, "left").drop(*[f"_{k}" for k in key])
+    return one.unionByName(rows.join(pieces, same, "left").drop(*[f"_{k}" for k in key]))
 
 
 def write_fasta(reference: DataFrame, path: str, width: int = 60) -> None:
