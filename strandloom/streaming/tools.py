@@ -6,6 +6,10 @@ folds below; groom before the stream, or give the driver a larger thread stack.
 Block compression and called regions keep state for each chromosome (an open block or range) between micro-batches, with
 ``applyInPandasWithState``. Records of a chromosome arrive in order; an end-of-chromosome row (``pos`` null) closes what is
 open, as no time bounds it.
+
+Late data: a record that belongs before what was sent on already is an error, as unordered records are for the tools on
+files; ``late="drop"`` leaves it out instead. Within a micro-batch any order is put right. What is neither blocked nor an
+indel goes on at once, by :func:`unblocked`.
 """
 
 from __future__ import annotations
@@ -36,39 +40,59 @@ def end_of(chroms: DataFrame, records: DataFrame) -> DataFrame:
     return chroms.select(*[F.col("chrom") if f.name == "chrom" else F.lit(None).cast(f.dataType).alias(f.name) for f in records.schema.fields])
 
 
-def called_regions(records: DataFrame) -> DataFrame:
-    """Called regions of a stream, each sent on when a gap or the chromosome's end closes it."""
+def unblocked(records: DataFrame, options: BlockOptions = BlockOptions()) -> DataFrame:
+    """The records of a stream that no block takes, as the tool writes them: a step without state, beside :func:`blocks`."""
+    return filters.write_gqx(records.filter(~F.coalesce(filters.is_blockable(options), F.lit(False)) & F.col("pos").isNotNull()))
+
+
+def _too_late(late: str, chrom: str, place: int) -> None:
+    if late != "drop":
+        raise ValueError(f"a record at {chrom}:{place} arrived after what lies behind it was sent on")
+
+
+def called_regions(records: DataFrame, late: str = "error") -> DataFrame:
+    """Called regions of a stream, each sent on when a gap or the chromosome's end closes it; ``late`` is ``error`` or ``drop``."""
     begin, end = R.called_range()
     ranges = records.filter(R.is_pass() | F.col("pos").isNull()).select("chrom", (begin - 1).alias("begin"), end.alias("end"))
     ranges = ranges.filter("begin IS NULL OR end > begin")
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
+        *open_range, sent = state.get if state.exists else (None, None, None)
+        held = tuple(open_range) if open_range[0] is not None else None
         out: list[tuple] = []
         rows = pd.concat(list(parts))
         closing = bool(rows["begin"].isna().any())
         for low, high in rows.dropna(subset=["begin"]).sort_values(["begin", "end"])[["begin", "end"]].astype("int64").itertuples(index=False):
-            if held is not None and low <= held[1]:
-                held = (held[0], max(held[1], high))
+            if sent is not None and low <= sent:
+                _too_late(late, key[0], low + 1)
+            elif held is not None and low <= held[1] and high >= held[0]:
+                held = (min(held[0], low), max(held[1], high))
+            elif held is not None and low < held[0]:
+                out.append((key[0], low, high))
+                sent = max(sent or 0, high)
             else:
-                out += [(key[0], *held)] if held is not None else []
+                if held is not None:
+                    out.append((key[0], *held))
+                    sent = held[1]
                 held = (low, high)
         if closing and held is not None:
             out.append((key[0], *held))
             held = None
-        if held is not None:
-            state.update(held)
-        elif state.exists:
-            state.remove()
+        if closing:
+            if state.exists:
+                state.remove()
+        elif held is not None or sent is not None:
+            state.update((*(held or (None, None)), sent))
         yield pd.DataFrame(out, columns=["chrom", "begin", "end"])
 
-    return ranges.groupBy("chrom").applyInPandasWithState(fold, "chrom string, begin long, end long", "begin long, end long", "append", GroupStateTimeout.NoTimeout)
+    return ranges.groupBy("chrom").applyInPandasWithState(fold, "chrom string, begin long, end long", "begin long, end long, sent long", "append", GroupStateTimeout.NoTimeout)
 
 
-def blocks(records: DataFrame, options: BlockOptions = BlockOptions()) -> DataFrame:
+def blocks(records: DataFrame, options: BlockOptions = BlockOptions(), late: str = "error") -> DataFrame:
     """Blocks of a stream of groomed records: ``chrom, pos, end, filter, gt, covered, dp, gqx, mq`` (minima).
 
-    A record that can't be in a block closes the open one and isn't sent on here.
+    A record that can't be in a block closes the open one and isn't sent on here, but by :func:`unblocked`. ``late`` is
+    ``error`` or ``drop``.
     """
     dp = R.maybe_int(R.sample_value("DP"))
     rows = records.select(
@@ -86,12 +110,13 @@ def blocks(records: DataFrame, options: BlockOptions = BlockOptions()) -> DataFr
     columns = ["chrom", "pos", "end", "filter", "gt", "covered", "dp", "gqx", "mq"]
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        block, last = OpenBlock(fraction, absolute), None
+        block, last, seen = OpenBlock(fraction, absolute), None, None
         if state.exists:
-            filters_text, gt, covered, start, last, *numbers = state.get
-            block.key, block.start = (filters_text, gt, covered), start
-            block.first = tuple(numbers[:3])
-            block.ranges = [None if low is None else (low, high) for low, high in zip(numbers[3::2], numbers[4::2], strict=True)]
+            seen, filters_text, gt, covered, start, last, *numbers = state.get
+            if last is not None:
+                block.key, block.start = (filters_text, gt, covered), start
+                block.first = tuple(numbers[:3])
+                block.ranges = [None if low is None else (low, high) for low, high in zip(numbers[3::2], numbers[4::2], strict=True)]
         out: list[tuple] = []
 
         def close() -> None:
@@ -104,7 +129,12 @@ def blocks(records: DataFrame, options: BlockOptions = BlockOptions()) -> DataFr
         rows = pd.concat(list(parts))
         closing = bool(rows["pos"].isna().any())
         rows = rows.dropna(subset=["pos"]).sort_values("pos", kind="stable")
+        before = seen
         for row in rows.itertuples(index=False):
+            if before is not None and int(row.pos) < before:  # another micro-batch has gone beyond it
+                _too_late(late, key[0], int(row.pos))
+                continue
+            seen = max(seen or 0, int(row.pos))
             if not row.blockable:
                 close()
                 continue
@@ -116,12 +146,15 @@ def blocks(records: DataFrame, options: BlockOptions = BlockOptions()) -> DataFr
             last = int(row.pos)
         if closing:
             close()
-        if last is not None:
+        if closing:
+            if state.exists:
+                state.remove()
+        elif last is not None:
             flat = [bound for held in block.ranges for bound in (held or (None, None))]
-            state.update((*block.key, block.start, last, *block.first, *flat))
-        elif state.exists:
-            state.remove()
+            state.update((seen, *block.key, block.start, last, *block.first, *flat))
+        elif seen is not None:
+            state.update((seen, *[None] * 14))
         yield pd.DataFrame(out, columns=columns).astype({c: "Int64" for c in ("dp", "gqx", "mq")})
 
-    held = "filter string, gt string, covered boolean, start long, last long, gqx int, dp int, mq int, gqx_low int, gqx_high int, dp_low int, dp_high int, mq_low int, mq_high int"
+    held = "seen long, filter string, gt string, covered boolean, start long, last long, gqx int, dp int, mq int, gqx_low int, gqx_high int, dp_low int, dp_high int, mq_low int, mq_high int"
     return rows.groupBy("chrom").applyInPandasWithState(fold, "chrom string, pos long, end long, filter string, gt string, covered boolean, dp int, gqx int, mq int", held, "append", GroupStateTimeout.NoTimeout)

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import blocks, intervals
@@ -53,3 +54,29 @@ def test_streams(spark, tmp_path):
 
     run(tools.extract_variants(records).select("line_no"), "variants")
     assert spark.table("variants").count() == intervals.extract_variants(batch).count()
+
+
+def test_late_records(spark, tmp_path):
+    """A record that arrives after what lies behind it was sent on is dropped, or stops the stream."""
+    rows = [(k, f"chr1\t{k * (3 if k % 5 == 0 else 1)}\t.\tA\t.\t60\tPASS\t.\tGT:GQ:DP:MQ\t0/0:60:30:60") for k in (1, 2, 3, 11, 12, 13, 31, 32, 33)]
+    late = (99, "chr1\t4\t.\tA\t.\t60\tPASS\t.\tGT:GQ:DP:MQ\t0/0:60:30:60")
+    source = tmp_path / "in"
+    source.mkdir()
+    for part, chunk in enumerate((rows[:3], rows[3:6], rows[6:], [late, (100, "END\tchr1")])):
+        (source / f"{part}.json").write_text("\n".join(json.dumps({"line_no": k, "value": v}) for k, v in chunk))
+        os.utime(source / f"{part}.json", (1_000_000 + part, 1_000_000 + part))
+    stream = spark.readStream.schema("line_no long, value string").option("maxFilesPerTrigger", 1).json(str(source))
+    records = vcf.parse_records(stream.filter("value NOT LIKE 'END%'"), keep=())
+    everything = records.unionByName(tools.end_of(stream.filter("value LIKE 'END%'").select(F.substring_index("value", "\t", -1).alias("chrom")), records))
+    batch = vcf.parse_records(spark.createDataFrame(rows, "line_no long, value string"))
+
+    run(tools.called_regions(everything, late="drop"), "late_regions")
+    assert sorted(map(tuple, spark.table("late_regions").collect())) == sorted(map(tuple, intervals.called_regions(batch).collect()))
+    run(tools.blocks(everything, late="drop"), "late_blocks")
+    want = sorted((r["chrom"], r["block"], r["size"]) for r in blocks.compress(batch)[1].collect())
+    assert sorted((r["chrom"], r["pos"], r["end"] - r["pos"] + 1) for r in spark.table("late_blocks").collect()) == want
+    for number, tool in enumerate((tools.called_regions, tools.blocks)):
+        with pytest.raises(Exception, match="arrived after"):
+            run(tool(everything), f"stopped{number}")
+    run(tools.unblocked(records).select("line_no"), "unblocked")
+    assert spark.table("unblocked").count() == 0
