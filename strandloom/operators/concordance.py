@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from strandloom.operators import sites as S
 from strandloom.sources import reference as ref
 
-#: The labels of reports, in their order.
+# The labels of reports, in their order.
+CHILD_HET = "P(child-het|parent-samehet) for non-conflicting snps (neutral site expect 1/2)"
+PARENT_SAME_HET = "P(parent-samehet|(parent-samehet or parent-diffhom)) for non-conflicting snps (neutral site expect 2/3)"
 STATES = ("samehom", "diffhom", "samehet", "diffhet", "homhet")
 CHILD = ("hom", "het")
 TWINS = ("twin1", "twin2")
@@ -154,8 +156,8 @@ def report(row: dict, size: int, known: int, samples: tuple[str, ...], trio: boo
     if trio:
         same = row["agree_samehet_het"] + row["agree_samehet_hom"]
         diff = row["agree_diffhom_het"] + row["agree_diffhom_hom"]
-        out.append(("P(child-het|parent-samehet) for non-conflicting snps (neutral site expect 1/2)", g(_ratio(row["agree_samehet_het"], same))))
-        out.append(("P(parent-samehet|(parent-samehet or parent-diffhom)) for non-conflicting snps (neutral site expect 2/3)", g(_ratio(same, same + diff))))
+        out.append((CHILD_HET, g(_ratio(row["agree_samehet_het"], same))))
+        out.append((PARENT_SAME_HET, g(_ratio(same, same + diff))))
     return out
 
 

@@ -54,7 +54,7 @@ DEFAULT_FILTERS = (
 
 @dataclass(frozen=True)
 class BlockOptions:
-    """Options of the filtering and block-compressing tool."""
+    """Options of the filtering and block-compressing tool; the labels and defaults are fixed values."""
 
     min_blockable_nonref: float = 0.2
     max_depth_factor: str = "3.0"

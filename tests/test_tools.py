@@ -231,3 +231,30 @@ def test_overlaps_are_refused_unless_dropped(spark):
         with pytest.raises(ValueError, match="sample 0: chr1:5"):
             tool()
         assert tool(drop_overlaps=True).count() == tool(region=("chr1", 7, 10)).count() + 6
+
+
+def test_positions_beyond_contigs_are_refused(spark):
+    genome = ref.from_sequences(spark, {"chr1": "ACGTAACCGT"})
+    good = records(spark, "chr1 1 . A . . PASS . GT:DP 0/0:9", tool="multi").withColumn("sample_id", F.lit(0))
+    for text, message in (("chr1 11 . A . . PASS . GT:DP 0/0:9", "beyond the end of its contig: chr1:11"), ("chr1 0 . A . . PASS . GT:DP 0/0:9", "position less than 1: chr1:0")):
+        rows = good.unionByName(records(spark, text, tool="multi").withColumn("sample_id", F.lit(1)))
+        for tool in (lambda **choices: merge.loci(rows, genome, **choices), lambda **choices: concordance.twins(rows, genome, **choices)[0]):
+            for drop in (False, True):
+                with pytest.raises(Exception, match=message):
+                    tool(drop_overlaps=drop).collect()
+    beyond = good.unionByName(records(spark, "chr1 11 . A . . PASS . GT:DP 0/0:9", tool="multi").withColumn("sample_id", F.lit(1)))
+    assert concordance.twins(beyond, genome, region=("chr1", 1, 4))[0].count() == 1
+
+
+def test_slices_over_chunks(spark):
+    rnd = random.Random(4)
+    text = "".join(rnd.choice("ACGT") for _ in range(23))
+    rows = [(k, "chr1" if k % 7 else "chr9", rnd.randint(0, 25), rnd.randint(0, 12)) for k in range(120)]
+    df = spark.createDataFrame(rows, "line_no long, chrom string, pos long, n int")
+    for chunk in (4, 100):
+        genome = ref.from_sequences(spark, {"chr1": text}, chunk=chunk)
+        got = {r["line_no"]: r["ref_slice"] for r in ref.with_slice(df, genome, ["line_no"], F.col("n"), chunk=chunk).collect()}
+        assert len(got) == len(rows)
+        for key, chrom, pos, n in rows:
+            if pos >= 1:
+                assert got[key] == ((text[pos - 1 : pos - 1 + n] or None) if chrom == "chr1" else None), (chunk, pos, n)
