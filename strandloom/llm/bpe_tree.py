@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from strandloom.llm.common import batches_of, rows_of, small_batches, stored, whole_text
+from strandloom.llm.common import batches_of, rows_of, small_batches, tidied, whole_text
 from strandloom.llm.tokens import Memo, library, pack, settings, special_strings
 
 #: Characters of a leaf; a parameter of the operators, as is the first window's bytes on either side.
@@ -163,51 +164,50 @@ def tree_encoder(path: str) -> TreeEncoder:
     return TreeEncoder(path)
 
 
-_DONE = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_()), ("ids", pa.list_(pa.int32()))]
-_DONE_SQL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, ids array<int>"
-_LEAVES = [("same", pa.binary()), ("hashed", pa.int64()), ("k", pa.int32()), ("n", pa.int32()), ("leaf", pa.binary())]
-_LEAVES_SQL = "same binary, hashed long, k int, n int, leaf binary"
+_DONE = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_()), ("ids", pa.binary())])
+_DONE_SQL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, ids binary"
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True, lists: bool = False) -> DataFrame:
     """One row for each input row: ``doc_id, n_tokens, ids_sha256``, then ``decoded_sha256`` and ``round_trip`` (whether the decoded
-    text is the text) if ``decoded``, and ``ids`` if ``lists``.
+    text is the text) if ``decoded``, and ``ids`` (packed, little-endian unsigned 32-bit integers) if ``lists``.
 
     Texts of one leaf are encoded where they are read and shuffle nothing. Leaves of longer texts are dealt out by text and
     number, encoded, and met again by the text's digest; one task then holds one such text at a time.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
 
     def digest(doc_id: int | None, packed: bytes, text: str, whole: bool) -> tuple:
-        ids = np.frombuffer(packed, "<i4") if lists else None
-        return doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(text.encode()).hexdigest() if decoded else None, whole if decoded else None, ids
+        return doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(text.encode()).hexdigest() if decoded else None, whole if decoded else None, packed if lists else None
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Results of texts of one leaf, and the leaves of the others."""
+    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = tree_encoder(tokenizer_path)
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                short, long = [], []
-                for doc_id, text in rows_of([batch]):
-                    (short if len(text) <= leaf_chars else long).append((doc_id, text))
-                packed = [tool.leaf(text) for _, text in short]
-                texts = tool.decode(packed) if decoded else [""] * len(packed)
-                for (doc_id, text), ids, back in zip(short, packed, texts, strict=True):
-                    yield *digest(doc_id, ids, back, back == text), None, None, None, 1, None
-                for doc_id, text in long:
-                    same, parts = xxhash.xxh3_128_digest(text.encode()), tool.cuts(text, leaf_chars)
-                    for k, part in enumerate(parts):
-                        yield doc_id, None, None, None, None, None, same, int.from_bytes(same[:8], "little", signed=True), k, len(parts) + 1, part.encode()
-
-        yield from batches_of(rows(), pa.schema(_DONE + _LEAVES))
-
-    part = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("k", pa.int32()), ("leaf", pa.binary()), ("ids", pa.binary())])
+                names, texts = (column.to_pylist() for column in batch.columns)
+                packed = [tool.leaf(text) for text in texts]
+                back = tool.decode(packed) if decoded else [""] * len(packed)
+                yield from map(digest, names, packed, back, map(str.__eq__, back, texts))
+
+        yield from batches_of(rows(), _DONE)
+
+    part = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("k", pa.int32()), ("leaf", pa.binary())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = tree_encoder(tokenizer_path)
+
+        def rows() -> Iterator[tuple]:
+            for doc_id, text in rows_of(batches):
+                same = xxhash.xxh3_128_digest(text.encode())
+                for k, leaf in enumerate(tool.cuts(text, leaf_chars)):
+                    yield doc_id, same, k, leaf.encode()
+
+        yield from batches_of(rows(), part)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = tree_encoder(tokenizer_path)
-        yield from batches_of(((doc_id, same, k, leaf, tool.leaf(leaf.decode())) for doc_id, same, k, leaf in rows_of(batches)), part)
+        yield from batches_of(((*row, tool.leaf(row[3].decode())) for row in rows_of(batches)), part.append(pa.field("ids", pa.binary())))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = tree_encoder(tokenizer_path)
@@ -230,11 +230,12 @@ def encoded(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LEAF_CHARS,
             if group:
                 yield from finish(group)
 
-        yield from batches_of(rows(), pa.schema(_DONE))
+        yield from batches_of(rows(), _DONE)
 
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), whole_text(docs[text_col]).alias("text"))
-    found = stored(own.mapInArrow(first, f"{_DONE_SQL}, {_LEAVES_SQL}"), "leaves")
-    leaves = found.filter("n > 1").select("doc_id", "same", "k", "leaf", "hashed").repartition("doc_id", "hashed", "k").select("doc_id", "same", "k", "leaf").mapInArrow(encode, "doc_id long, same binary, k int, leaf binary, ids binary")
-    long = leaves.repartition("doc_id", "same").sortWithinPartitions("doc_id", "same", "k").mapInArrow(meet, _DONE_SQL)
-    names = [name for name, _ in _DONE if (lists or name != "ids") and (decoded or name not in ("decoded_sha256", "round_trip"))]
-    return found.filter("n = 1").select(*names).union(long.select(*names))
+    long = F.length("text") > leaf_chars
+    leaves = own.filter(long).mapInArrow(tidied(cut), "doc_id long, same binary, k int, leaf binary").repartition("doc_id", "same", "k")
+    leaves = leaves.mapInArrow(tidied(encode), "doc_id long, same binary, k int, leaf binary, ids binary")
+    met = leaves.repartition("doc_id", "same").sortWithinPartitions("doc_id", "same", "k").mapInArrow(tidied(meet), _DONE_SQL)
+    found = own.filter(~long).mapInArrow(tidied(at_once), _DONE_SQL).union(met)
+    return found.drop(*(["ids"] if not lists else []), *(["decoded_sha256", "round_trip"] if not decoded else []))

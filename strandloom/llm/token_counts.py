@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import small_batches, whole_text
+from strandloom.llm.common import small_batches, tidied, whole_text
 from strandloom.llm.tokens import Memo, drops_white_space, library, settings, special_strings
 
 PLAIN_ENDS = frozenset(b".,;:!?")
@@ -41,7 +41,7 @@ class MergeCounter:
         specials = sorted(special_strings(path), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.by_chunk = drops_white_space(path)
-        self.plain = self.by_chunk and self.normalise("aBc") == "abc"
+        self.plain = self.by_chunk and all([piece for piece, _ in self.split(self.normalise("aBc" + chr(mark)))] == ["abc", chr(mark)] for mark in PLAIN_ENDS)
         self.pieces = Memo(lambda keys: [self.merge(key.decode()) for key in keys], 500_000)
         self.chunks = Memo(self.chunk_counts)
 
@@ -130,5 +130,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
             yield pa.record_batch([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(count.batch(texts), pa.int64())], schema=_COUNTED)
 
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), whole_text(docs[text_col]).cast("binary").alias("text"))
-    counted = own.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = own.mapInArrow(tidied(run), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -49,7 +49,7 @@ def test_run_against_plain_stages(spark):
     for key, text in docs:
         ids = library.encode(text or "", add_special_tokens=False).ids
         packed = array.array("I", ids).tobytes()
-        assert got[key]["ids"] == ids and got[key]["n_tokens"] == len(ids) and got[key]["ids_sha256"] == hashlib.sha256(packed).hexdigest()
+        assert got[key]["ids"] == packed and got[key]["n_tokens"] == len(ids) and got[key]["ids_sha256"] == hashlib.sha256(packed).hexdigest()
         assert got[key]["round_trip"] and got[key]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
 
 
