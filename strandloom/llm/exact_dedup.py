@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import batches_of, lower_ascii, rows_of, small_batches, whole_text
+from strandloom.llm.common import batches_of, lower_ascii, rows_of, small_batches, tidied, whole_text
 
 #: Bytes that a task's trie may hold: edges, and what a node takes besides.
 TRIE_BYTES = 48 << 20
@@ -175,9 +175,9 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     text = lower_ascii(text) if fold_case else text
     own = docs.select(docs[id_col].cast("long").alias("best"), text.alias("key"))
     own = own.select("best", F.col("key").cast("binary").alias("key"), F.xxhash64("key").alias("cell"), F.sha2(F.col("key"), 256).alias("digest"))
-    partial = own.mapInArrow(_gather(keep == "max"), "n_bytes long, cell long, digest string, key binary, best long, n long")
+    partial = own.mapInArrow(tidied(_gather(keep == "max")), "n_bytes long, cell long, digest string, key binary, best long, n long")
     dealt = partial.repartition("n_bytes", "cell").sortWithinPartitions("key")
-    return dealt.mapInArrow(_own(keep == "max"), "digest string, best long, n long")
+    return dealt.mapInArrow(tidied(_own(keep == "max")), "digest string, best long, n long")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fold_case: bool = True) -> DataFrame:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import batches_of, rows_of, small_batches, stored
+from strandloom.llm.common import batches_of, rows_of, small_batches, stored, tidied
 from strandloom.llm.decontaminate import bounded
 from strandloom.llm.url_filter import host_of
 
@@ -466,7 +466,7 @@ def seeds(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
         yield from batches_of(rows(), schema)
 
     dealt = met.select("host", "html").dropDuplicates(["host", "html"]).repartition("host").sortWithinPartitions("host", F.xxhash64("html"), "html")
-    return stored(dealt.mapInArrow(choose, "host string, wrapper string"), "wrappers")
+    return stored(dealt.mapInArrow(tidied(choose), "host string, wrapper string"), "wrappers")
 
 
 @functools.lru_cache(maxsize=256)
@@ -509,7 +509,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         yield from batches_of(rows(), schema, 10_000)
 
     met = _with_wrapper(pages, found, url_col, html_col).filter("wrapper IS NOT NULL AND html <> ''").select("host", "html", "wrapper")
-    sums = met.mapInArrow(gather, "host string, place int, pages long, low long, high long, size long")
+    sums = met.mapInArrow(tidied(gather), "host string, place int, pages long, low long, high long, size long")
     sums = sums.groupBy("host", "place").agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("size"))
     # as many rows for a host as its wrapper has nodes
     sums = sums.groupBy("host").agg(F.collect_list(F.struct("place", "pages", "low", "high", "size")).alias("sums"))
@@ -520,7 +520,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         yield from batches_of(rows, ruled)
 
     joined = found.join(sums.withColumnRenamed("host", "of_host"), F.col("host") == F.col("of_host")).select("host", "wrapper", "sums")
-    return joined.mapInArrow(rule, "host string, wrapper string, region int, template array<int>")
+    return joined.mapInArrow(tidied(rule), "host string, wrapper string, region int, template array<int>")
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -538,4 +538,4 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
         yield from batches_of(rows(), schema)
 
-    return met.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return met.mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")

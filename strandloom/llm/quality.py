@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from strandloom.llm.common import small_batches, whole_text
+from strandloom.llm.common import small_batches, tidied, whole_text
 from strandloom.llm.tokens import Memo
 
 BITS = 18
@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bits:
                     model.learn(*rows[k])
             yield pa.record_batch([pa.array([model.weights().astype("<f4").tobytes()], pa.binary())], names=["weights"])
 
-    found = sample.mapInArrow(run, "weights binary").collect()
+    found = sample.mapInArrow(tidied(run), "weights binary").collect()
     return np.frombuffer(found[0]["weights"], "<f4").astype(np.float64) if found else None
 
 
@@ -140,7 +140,7 @@ def scored(docs: DataFrame, weights: np.ndarray | None, threshold: float = THRES
 
     text = whole_text(docs[text_col]).cast("binary").alias("text")
     own = docs.select(text, docs[id_col].cast("long").alias("doc_id"), *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []))
-    found = own.mapInArrow(run, StructType([*own.schema.fields[1:], StructField("score", DoubleType())]))
+    found = own.mapInArrow(tidied(run), StructType([*own.schema.fields[1:], StructField("score", DoubleType())]))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["row"] if carry else []))
 
 

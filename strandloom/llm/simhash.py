@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import batches_of, rows_of, small_batches, stored, whole_text
+from strandloom.llm.common import batches_of, rows_of, small_batches, stored, tidied, whole_text
 
 #: Rows of a block of a tile comparison.
 BLOCK = 512
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
 
     text = whole_text(docs[text_col])
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("hashed"), text.cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, hashed long, print long")
+    return own.mapInArrow(tidied(run), "doc_id long, hashed long, print long")
 
 
 def _offsets(radius: int) -> list[int]:
@@ -148,7 +148,7 @@ def links(prints: DataFrame, radius: int = 2, part_nodes: int = PART_NODES) -> D
 
         yield from batches_of(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]), 10_000)
 
-    return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return dealt.mapInArrow(tidied(run), "a long, b long").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

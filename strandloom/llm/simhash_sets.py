@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import simhash
-from strandloom.llm.common import batches_of, marked_only, rows_of, small_batches, stored, whole_text
+from strandloom.llm.common import batches_of, marked_only, rows_of, small_batches, stored, tidied, whole_text
 from strandloom.llm.decontaminate import bounded
 
 #: 64-bit words of a fingerprint.
@@ -45,7 +45,7 @@ LEAST = (4, 5)
 #: Home nodes and visitors of a block comparison.
 BLOCK, ACROSS = 256, 1024
 #: Parts of tiles hold this share of all nodes, within these bounds.
-TASKS, LEAST_NODES, MOST_NODES = 256, 1 << 12, 1 << 18
+TASKS, LEAST_NODES, MOST_NODES = 256, 1 << 15, 1 << 18
 #: Bytes of sets of one part of a case.
 PART_BYTES = 32 << 20
 #: Entries of inverted lists that are counted at a time.
@@ -115,7 +115,7 @@ def prints(texts: DataFrame, words: int = 5, least: tuple[int, int] = LEAST) ->
             bands = [math.floor(math.log(size) / step) for size in sizes]
             yield pa.record_batch([*batch.columns[:2], pa.array(map(_node, sets), pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.int32()), pa.array(map(wide_print, sets), pa.binary())], schema=schema)
 
-    return texts.mapInArrow(run, "doc_id long, hashed long, print long, n long, band int, bits binary")
+    return texts.mapInArrow(tidied(run), "doc_id long, hashed long, print long, n long, band int, bits binary")
 
 
 class Nodes:
@@ -235,7 +235,7 @@ def candidate_links(nodes: DataFrame, least: tuple[int, int] = LEAST, part_nodes
 
         yield from batches_of(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]), 10_000)
 
-    return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return dealt.mapInArrow(tidied(run), "a long, b long").filter("a <> b").distinct()
 
 
 def similar(names: list[int], sets: list[np.ndarray], first: int, least: tuple[int, int] = LEAST) -> list[tuple[int, int]]:
@@ -298,7 +298,7 @@ def checked_links(cases: DataFrame, nodes: DataFrame, texts: DataFrame, words: i
         yield from batches_of(rows(), pa.schema([("node", pa.int64()), ("grams", pa.binary())]))
 
     # a text that the bit map lets through without need meets no case; repeated sets are one
-    found = marked.select("text").mapInArrow(hashes, "node long, grams binary").join(bounded(placed), F.col("node") == F.col("name")).dropDuplicates(["node"])
+    found = marked.select("text").mapInArrow(tidied(hashes), "node long, grams binary").join(bounded(placed), F.col("node") == F.col("name")).dropDuplicates(["node"])
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j")))
     dealt = found.select("root", F.explode(pairs).alias("pair"), "part", "node", "grams").select("root", "pair.i", "pair.j", "part", "node", "grams")
     dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "part", "node")
@@ -323,7 +323,7 @@ def checked_links(cases: DataFrame, nodes: DataFrame, texts: DataFrame, words: i
 
         yield from batches_of(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]), 10_000)
 
-    return stored(dealt.mapInArrow(compare, "a long, b long").distinct(), "simhash-links")
+    return stored(dealt.mapInArrow(tidied(compare), "a long, b long").distinct(), "simhash-links")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST, id_col: str = "doc_id", text_col: str = "text", part_nodes: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:

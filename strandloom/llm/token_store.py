@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import small_batches, whole_text
+from strandloom.llm.common import small_batches, tidied, whole_text
 from strandloom.llm.tokens import word_encoder
 
 SCHEMA = "doc_id long, part int, row long, n_tokens long, ids array<int>"
@@ -70,7 +70,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, id_col
             row += n
 
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), whole_text(docs[text_col]).cast("binary").alias("text"))
-    return own.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SCHEMA)
+    return own.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(tidied(run), SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", **layout) -> None:
@@ -106,7 +106,7 @@ def layout_of(spark: SparkSession, path: str) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array([b - a for a, b in pairs], pa.int64()), pa.array(crcs, pa.int64())], schema=schema)
 
     small_batches(spark)
-    found = read_tokens(spark, path, ["doc_id", "part", "row", "ids"]).mapInArrow(run, "doc_id long, part int, row long, n_tokens long, ids_crc32 long")
+    found = read_tokens(spark, path, ["doc_id", "part", "row", "ids"]).mapInArrow(tidied(run), "doc_id long, part int, row long, n_tokens long, ids_crc32 long")
     sums = read_tokens(spark, path, ["part", "n_tokens"]).groupBy("part").agg(F.sum("n_tokens").alias("own"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sums.select(F.col("part").alias("at_part"), F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base"))
