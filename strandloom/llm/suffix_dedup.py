@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import batches_of, marked_only, rows_of, small_batches, stored, whole_text
+from strandloom.llm.common import batches_of, marked_only, rows_of, small_batches, stored, tidied, whole_text
 from strandloom.llm.decontaminate import bounded
 
 #: Leading bytes by which anchors are chosen and meet; a multiple of eight.
@@ -286,7 +286,7 @@ def compared(pieces: DataFrame, length: int, most_pieces: int = MOST_PIECES) ->
         if large.isEmpty():
             break
         small.append(pieces.join(bounded(large), key == F.col("of_key"), "left_anti"))
-        cut = stored(pieces.join(bounded(large), key == F.col("of_key"), "left_semi").mapInArrow(_recut(length, width), _PIECES_SQL), "narrow-pieces", compression="zstd")
+        cut = stored(pieces.join(bounded(large), key == F.col("of_key"), "left_semi").mapInArrow(tidied(_recut(length, width)), _PIECES_SQL), "narrow-pieces", compression="zstd")
         shared = cut.groupBy(key.alias("of_key")).agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
         pieces = stored(cut.join(shared, key == F.col("of_key"), "left_semi"), "shared-pieces", compression="zstd")
         if width == 1:
@@ -296,7 +296,7 @@ def compared(pieces: DataFrame, length: int, most_pieces: int = MOST_PIECES) ->
             pieces = pieces.limit(0)
     for part in small:
         pieces = pieces.union(part)
-    ranges = pieces.repartitionByRange("core", "band").sortWithinPartitions("core", "band").mapInArrow(_compare(length), "lead long, body long, low int, high int")
+    ranges = pieces.repartitionByRange("core", "band").sortWithinPartitions("core", "band").mapInArrow(tidied(_compare(length)), "lead long, body long, low int, high int")
     for part in settled:
         ranges = ranges.union(part)
     return ranges
@@ -368,7 +368,7 @@ def repeated_ranges(docs: DataFrame, length: int = 200, bands: int = BANDS, id_c
     small_batches(docs.sparkSession)
     text = whole_text(docs[text_col])
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("hashed"), text.cast("binary").alias("text"))
-    found = stored(own.mapInArrow(_find_runs(length), "doc_id long, hashed long, lead long, body long, at long, n int, d int, weight int, n_bytes long, whole string"), "runs", compression="zstd")
+    found = stored(own.mapInArrow(tidied(_find_runs(length)), "doc_id long, hashed long, lead long, body long, at long, n int, d int, weight int, n_bytes long, whole string"), "runs", compression="zstd")
     met = found.filter("weight > 0").select("doc_id", "hashed", "lead", "body", "at", "n", "d", "weight")
     # sums by partial aggregation and a join, whose hot keys adaptive execution can split, rather than a window over a key
     totals = met.groupBy(F.col("lead").alias("t_lead")).agg(F.sum("weight").alias("total"), (F.min("body") != F.max("body")).alias("mixed")).filter("total > 1")
@@ -377,13 +377,14 @@ def repeated_ranges(docs: DataFrame, length: int = 200, bands: int = BANDS, id_c
     of_doc = F.struct("doc_id", "hashed", "at", "n", "d")
     classes = met.filter("mixed").groupBy("lead", "body").agg(F.sum("weight").alias("count"), F.min(of_doc).alias("case"))
     classes = stored(classes, "classes", compression="zstd")
-    open_leads = classes.filter("count = 1").select(F.col("lead").alias("o_lead")).distinct()
+    # stored, so that the join has plain exchanges on both sides and adaptive execution can split a hot lead
+    open_leads = stored(classes.filter("count = 1").select(F.col("lead").alias("o_lead")).distinct(), "open-leads", compression="zstd")
     cases = classes.join(open_leads, F.col("lead") == F.col("o_lead"), "left_semi").select("case.doc_id", "case.hashed", F.struct("case.at", "case.n", "case.d", "lead", "body", (F.col("count") == 1).alias("wanted")).alias("case"))
     cases = cases.groupBy("doc_id", "hashed").agg(F.collect_list("case").alias("cases"))
     cases = stored(cases, "cases", compression="zstd").withColumnsRenamed({"doc_id": "c_id", "hashed": "c_hashed"})
     same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("hashed") == F.col("c_hashed"))
     texts = marked_only(own, cases.select(F.col("c_id").alias("doc_id"), F.col("c_hashed").alias("hashed")))
-    pieces = stored(texts.join(cases, same).select("text", "cases").mapInArrow(_cut_pieces(length, bands), _PIECES_SQL), "pieces", compression="zstd")
+    pieces = stored(texts.join(cases, same).select("text", "cases").mapInArrow(tidied(_cut_pieces(length, bands)), _PIECES_SQL), "pieces", compression="zstd")
     ranges = compared(pieces, length).groupBy("lead", "body").agg(F.collect_set(F.struct("low", "high")).alias("ranges")).withColumnsRenamed({"lead": "r_lead", "body": "r_body"})
     verdicts = classes.select(F.col("lead").alias("v_lead"), F.col("body").alias("v_body"), "count")
     verdicts = verdicts.join(ranges, (F.col("v_lead") == F.col("r_lead")) & (F.col("v_body") == F.col("r_body")), "left").filter("count > 1 OR ranges IS NOT NULL")
@@ -395,7 +396,7 @@ def repeated_ranges(docs: DataFrame, length: int = 200, bands: int = BANDS, id_c
     of_text = F.when(F.col("count") > 1, F.array(F.struct(F.lit(0).alias("low"), F.col("n").alias("high")))).otherwise(F.col("ranges"))
     judged = judged.select("doc_id", "hashed", "at", F.explode(of_text).alias("range")).select("doc_id", "hashed", (F.col("at") + F.col("range.low")).alias("low"), (F.col("at") + F.col("range.high")).alias("high"))
     covered = known.union(alike).union(judged).groupBy("doc_id", "hashed").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    merged = stored(covered.mapInArrow(_merged(length), "doc_id long, hashed long, begins array<long>, ends array<long>"), "ranges", compression="zstd")
+    merged = stored(covered.mapInArrow(tidied(_merged(length)), "doc_id long, hashed long, begins array<long>, ends array<long>"), "ranges", compression="zstd")
     return found.filter("whole IS NOT NULL").select("doc_id", "hashed", "n_bytes", "whole"), merged
 
 
@@ -411,7 +412,7 @@ def without_repeats(docs: DataFrame, length: int = 200, bands: int = BANDS, id_c
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("hashed"), text.cast("binary").alias("text"))
     parts = part.withColumnsRenamed({"doc_id": "p_id", "hashed": "p_hashed"})
     met = marked_only(own, part.select("doc_id", "hashed")).join(parts, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("hashed") == F.col("p_hashed")))
-    kept = met.select("doc_id", "hashed", "text", "begins", "ends").mapInArrow(_keep, "doc_id long, hashed long, kept string").distinct().withColumnsRenamed({"doc_id": "k_id", "hashed": "k_hashed"})
+    kept = met.select("doc_id", "hashed", "text", "begins", "ends").mapInArrow(tidied(_keep), "doc_id long, hashed long, kept string").distinct().withColumnsRenamed({"doc_id": "k_id", "hashed": "k_hashed"})
     found = base.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("hashed") == F.col("k_hashed")), "left")
     digest = F.when(F.col("n_removed") == 0, F.col("whole")).when(F.col("n_removed") == F.col("n_bytes"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept"))
     return found.select("doc_id", "n_bytes", "n_removed", F.coalesce(F.size("begins"), F.lit(0)).cast("long").alias("n_spans"), digest.alias("kept_sha256"))
