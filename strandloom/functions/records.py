@@ -45,19 +45,18 @@ def parse_double_strict(text: Column | str) -> Column:
 
 def parse_int(text: Column | str) -> Column:
     """The signed 32-bit integer that a text begins with; null if there is none or it doesn't fit."""
-    found = F.regexp_extract(_col(text), r"^\s*([+-]?\d+)", 1).try_cast("decimal(38,0)")
+    found = F.regexp_extract(_col(text), r"^\s*([+-]?\d+)", 1).try_cast("long")
     return F.when(found.between(-(2**31), 2**31 - 1), found).cast("int")
 
 
 def parse_long(text: Column | str) -> Column:
-    found = F.regexp_extract(_col(text), r"^\s*([+-]?\d+)", 1).try_cast("decimal(38,0)")
-    return F.when(found.between(-(2**63), 2**63 - 1), found).cast("long")
+    return F.regexp_extract(_col(text), r"^\s*([+-]?\d+)", 1).try_cast("long")
 
 
 def parse_unsigned(text: Column | str) -> Column:
     """As :func:`parse_int` for unsigned 32-bit numbers; a minus sign is no number."""
-    found = F.regexp_extract(_col(text), r"^\s*[+]?(\d+)", 1).try_cast("decimal(38,0)")
-    return F.when(found.between(0, 2**32 - 1), found).cast("long")
+    found = F.regexp_extract(_col(text), r"^\s*[+]?(\d+)", 1).try_cast("long")
+    return F.when(found.between(0, 2**32 - 1), found)
 
 
 def strict(parse, text: Column | str) -> Column:
@@ -181,9 +180,8 @@ def sample_rename(old: str, new: str, format: Column | str = "format") -> Column
 
 def format_prefix_value(key: str, format: Column | str = "format", sample: Column | str = "sample") -> Column:
     """The sample's value of the first FORMAT key that begins with ``key``, or null."""
-    format = _col(format)
-    first = F.filter(F.transform(format, lambda item, k: F.when(item.startswith(key), k)), lambda k: k.isNotNull())
-    return F.when(F.size(first) > 0, F.get(_col(sample), F.get(first, F.lit(0)).cast("int")))
+    at = F.array_position(F.transform(_col(format), lambda item: item.startswith(key)), True)
+    return F.get(_col(sample), (at - 1).cast("int"))
 
 
 def format_prefix_float(key: str, format: Column | str = "format", sample: Column | str = "sample") -> Column:

@@ -20,27 +20,25 @@ TRIO = ("mother", "father", "child")
 def prepared(records: DataFrame, reference: DataFrame, options: S.CallOptions = S.CallOptions(), exclude: list[str] | None = None, region: tuple[str, int | None, int | None] | None = None, drop_overlaps: bool = False) -> DataFrame:
     """Sites of all samples on the (standardised) reference, without positions where it is N; unordered or overlapping records
     are an error unless they are dropped, and positions beyond a contig always are."""
-    records = S.placed(S.on_reference(S.without_chromosomes(records, exclude or []), reference), reference, region)
-    if drop_overlaps:
-        names = records.columns
-        records = S.murdock(S.with_locus(records).filter("NOT is_indel")).select(*names)
-    else:
-        S.refuse_conflicts(S.with_locus(records).filter("NOT is_indel"), region)
-    return S.expanded(records, ref.standardized(reference), options, region=region).filter("ref_base <> 'N'")
+    found = S.settled(records, reference, options, exclude or [], region, drop_overlaps, indels=False, more=("raw",))
+    return S.spread(found, ref.standardized(reference), region=region).filter("ref_base <> 'N'")
 
 
 def merged(sites: DataFrame, samples: tuple[str, ...]) -> DataFrame:
     """One row for each position: ``chrom, pos, ref_base``, and for each sample ``<name>_mapped, _called, _a1, _a2, _raw``.
 
-    A full outer merge of any number of samples as one aggregation, so one shuffle by position.
+    A full outer merge of any number of samples as one aggregation, so one shuffle by position. A sample has one row at most
+    for a position, so rows are dealt out as they are (nothing to aggregate before), and lines apart, for those who read them.
     """
-    here = F.struct(F.lit(True).alias("there"), F.col("depth"), F.col("called"), F.get("alleles", F.lit(0)).alias("a1"), F.get("alleles", F.lit(1)).alias("a2"), "raw" if "raw" in sites.columns else F.lit(None).cast("string").alias("raw"))
-    parts = [F.max(F.when(F.col("sample_id") == k, here)).alias(f"_{name}") for k, name in enumerate(samples)]
-    rows = sites.groupBy("chrom", F.col("site_pos").alias("pos")).agg(F.first("ref_base").alias("ref_base"), *parts)
+    sites = sites.select("sample_id", "chrom", F.col("site_pos").alias("pos"), "ref_base", "depth", "called", F.get("alleles", F.lit(0)).alias("a1"), F.get("alleles", F.lit(1)).alias("a2"), "raw" if "raw" in sites.columns else F.lit(None).cast("string").alias("raw"))
+    own = lambda k, value: F.max(F.when(F.col("sample_id") == k, value))
+    parts = [own(k, F.struct("depth", "called", "a1", "a2")).alias(f"_{name}") for k, name in enumerate(samples)]
+    lines = [own(k, F.col("raw")).alias(f"{name}_raw") for k, name in enumerate(samples)]
+    rows = sites.repartition("chrom", "pos").groupBy("chrom", "pos").agg(F.first("ref_base").alias("ref_base"), *parts, *lines)
     columns = [F.col("chrom"), F.col("pos"), F.col("ref_base")]
     for name in samples:
         own = F.col(f"_{name}")
-        columns += [F.coalesce(own["depth"] != 0, F.lit(False)).alias(f"{name}_mapped"), F.coalesce(own["called"], F.lit(False)).alias(f"{name}_called"), own["a1"].alias(f"{name}_a1"), own["a2"].alias(f"{name}_a2"), own["raw"].alias(f"{name}_raw")]
+        columns += [F.coalesce(own["depth"] != 0, F.lit(False)).alias(f"{name}_mapped"), F.coalesce(own["called"], F.lit(False)).alias(f"{name}_called"), own["a1"].alias(f"{name}_a1"), own["a2"].alias(f"{name}_a2"), F.col(f"{name}_raw")]
     return rows.select(*columns)
 
 

@@ -20,13 +20,8 @@ def loci(records: DataFrame, reference: DataFrame, options: S.CallOptions = S.Ca
 
     Unordered or overlapping records are an error unless they are dropped.
     """
-    records = S.placed(S.on_reference(S.without_chromosomes(records, exclude or []), reference), reference, region)
-    if drop_overlaps:
-        names = records.columns
-        records = S.murdock(S.with_locus(records)).select(*names)
-    else:
-        S.refuse_conflicts(S.with_locus(records), region)
-    found = S.expanded(records, ref.standardized(reference), options, indels=True, region=region)
+    records = S.settled(records, reference, options, exclude or [], region, drop_overlaps, indels=True, more=("filter", "format", "sample"))
+    found = S.spread(records, ref.standardized(reference), indels=True, region=region)
     own = F.struct("sample_id", "called", "alleles", "ref", "filter", "format", "sample")
     return found.groupBy("chrom", F.col("site_pos").alias("pos"), "is_indel").agg(F.first("ref_base").alias("ref_base"), F.array_sort(F.collect_list(own)).alias("samples"))
 

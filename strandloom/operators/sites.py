@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import records as R
 from strandloom.plans import ordered
+from strandloom.plans.storage import stored
 from strandloom.sources import reference as ref
 
 
@@ -83,9 +84,17 @@ def with_locus(records: DataFrame) -> DataFrame:
 
 def order_conflicts(records: DataFrame, width: int = ordered.BIN) -> DataFrame:
     """Rows of :func:`with_locus` that do not come after the row before them (of their sample and chromosome)."""
-    here = F.struct(F.col("locus_end"), F.col("is_indel"))
-    found = ordered.last_before(records, ["sample_id", "chrom"], "line_no", ["line_no"], here, "_before", width)
-    return found.filter(F.col("_before").isNotNull() & (F.struct("pos", "is_indel") <= F.col("_before"))).select(*records.columns)
+    names = records.columns
+    here = F.struct("locus_end", "is_indel")
+    cut = ordered.binned(records, "line_no", width)
+    within = Window.partitionBy("sample_id", "chrom", "_bin").orderBy("line_no")
+    cut = cut.withColumns({"_before": F.lag(here).over(within), "_last": F.lead(F.lit(True)).over(within).isNull()})
+    early = lambda before: F.coalesce(F.struct("pos", "is_indel") <= before, F.lit(False))
+    # of a bin, its ends are enough to compare it with the bin before it
+    found = cut.withColumn("_early", early(F.col("_before"))).filter("_before IS NULL OR _last OR _early")
+    over_bins = Window.partitionBy("sample_id", "chrom").orderBy("line_no")
+    found = found.withColumn("_ends", F.lag(here).over(over_bins))
+    return found.filter(F.col("_early") | (F.col("_before").isNull() & early(F.col("_ends")))).select(*names)
 
 
 def refuse_conflicts(records: DataFrame, region: tuple[str, int | None, int | None] | None = None) -> None:
@@ -129,13 +138,29 @@ def murdock(records: DataFrame, width: int = ordered.BIN) -> DataFrame:
     return found.mapInArrow(keep, found.schema).select(*records.columns)
 
 
-def expanded(records: DataFrame, reference: DataFrame, options: CallOptions = CallOptions(), indels: bool = False, region: tuple[str, int | None, int | None] | None = None) -> DataFrame:
-    """One row for each position that a record covers (for an indel, if ``indels``, one row at its POS).
+def with_calls(records: DataFrame, options: CallOptions = CallOptions()) -> DataFrame:
+    """Rows of :func:`with_locus` with ``gt, passes, depth``: all that :func:`spread` reads of FILTER, INFO and the sample."""
+    return records.withColumns({"gt": R.try_gt(R.format_prefix_value("GT")), "passes": is_call(options), "depth": mapped_depth()})
 
-    Columns: those of the records, and ``site_pos, is_indel, ref_base, alleles, called, depth``. A site is called if its
-    record is, and it has exactly two known alleles. A region clips blocks to its ends.
+
+def settled(records: DataFrame, reference: DataFrame, options: CallOptions, exclude: list[str], region: tuple[str, int | None, int | None] | None, drop_overlaps: bool, indels: bool, more: tuple[str, ...]) -> DataFrame:
+    """Rows of :func:`with_calls` on the reference, with the columns ``more``, in order and without overlaps.
+
+    Lines are parsed once and stored, as both the check of their order and the tool read them.
     """
-    found = with_locus(records)
+    records = placed(on_reference(without_chromosomes(records, exclude), reference), reference, region)
+    records = with_locus(records.filter(F.col("chrom") == region[0]) if region else records)
+    names = ["sample_id", "chrom", "line_no", "pos", "ref", "alt", "is_indel", "n_sites", "locus_end", "gt", "passes", "depth", *[c for c in more if c in records.columns]]
+    found = stored(with_calls(records, options).select(*names), "settled")
+    found = found if indels else found.filter("NOT is_indel")
+    if drop_overlaps:
+        return murdock(found)
+    refuse_conflicts(found, region)
+    return found
+
+
+def spread(found: DataFrame, reference: DataFrame, indels: bool = False, region: tuple[str, int | None, int | None] | None = None) -> DataFrame:
+    """:func:`expanded` for rows of :func:`with_calls`."""
     if not indels:
         found = found.filter("NOT is_indel")
     begin, end = F.col("pos"), F.col("locus_end")
@@ -148,10 +173,18 @@ def expanded(records: DataFrame, reference: DataFrame, options: CallOptions = Ca
         if high is not None:
             end = F.least(end, F.lit(high))
             found = found.filter(F.col("pos") <= high)
-    rows = found.withColumns({"gt": R.try_gt(R.format_prefix_value("GT")), "passes": is_call(options), "depth": mapped_depth()})
-    rows = rows.withColumn("site_pos", F.explode(F.sequence(begin, F.greatest(begin, end))))
+    rows = found.withColumn("site_pos", F.explode(F.sequence(begin, F.greatest(begin, end))))
     rows = ref.with_base(rows, reference, pos="site_pos")
     site = F.col("site_pos") - F.col("pos")
     alleles = F.when(F.col("is_indel"), R.indel_alleles(F.col("gt"), "ref", "alt")).otherwise(R.site_alleles(F.col("gt"), "alt", site, F.col("ref_base")))
     known = F.col("is_indel") | ~F.exists(F.col("gt"), lambda a: (a < 0) | (a > F.size("alt")))
     return rows.withColumn("alleles", alleles).withColumn("called", F.coalesce(F.col("passes") & (F.size("gt") == 2) & known, F.lit(False))).drop("passes")
+
+
+def expanded(records: DataFrame, reference: DataFrame, options: CallOptions = CallOptions(), indels: bool = False, region: tuple[str, int | None, int | None] | None = None) -> DataFrame:
+    """One row for each position that a record covers (for an indel, if ``indels``, one row at its POS).
+
+    Columns: those of the records, and ``site_pos, is_indel, ref_base, alleles, called, depth``. A site is called if its
+    record is, and it has exactly two known alleles. A region clips blocks to its ends.
+    """
+    return spread(with_calls(with_locus(records), options), reference, indels, region)

@@ -12,6 +12,8 @@ from pyspark.sql import Window
 from strandloom.functions import records as R
 
 CHUNK = 1 << 13
+#: Characters that a lookup of one base walks over at most.
+PIECE = 1 << 6
 SCHEMA = "chrom string, chrom_idx long, chunk long, start long, seq string"
 
 
@@ -94,13 +96,16 @@ def known_size(reference: DataFrame, region: tuple[str, int | None, int | None]
 def with_base(rows: DataFrame, reference: DataFrame, chrom: str = "chrom", pos: str = "pos", name: str = "ref_base", chunk: int = CHUNK) -> DataFrame:
     """``rows`` with the reference base at a 1-based position, N outside the reference.
 
-    An equi-join on chromosome and chunk number: the planner broadcasts a small genome and shuffles by chunk otherwise.
+    An equi-join on chromosome and chunk number: the planner broadcasts a small genome and shuffles by chunk otherwise. A text's
+    substring walks over all characters before it, so a chunk is an array of short pieces, of which a lookup walks over one.
     """
-    ref = reference.select(F.col("chrom").alias("_rc"), F.col("chunk").alias("_rk"), F.col("start").alias("_rs"), F.col("seq").alias("_rq"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / PIECE).cast("int")), lambda k: F.substr(F.col("seq"), k * PIECE + 1, F.lit(PIECE)))
+    ref = reference.select(F.col("chrom").alias("_rc"), F.col("chunk").alias("_rk"), F.col("start").alias("_rs"), pieces.alias("_rp"))
     at = F.floor((F.col(pos) - 1) / chunk)
     joined = rows.join(ref, (F.col(chrom) == F.col("_rc")) & (at == F.col("_rk")), "left")
-    base = F.substr("_rq", (F.col(pos) - F.col("_rs")).cast("int"), F.lit(1))
-    return joined.withColumn(name, F.when(base.isNull() | (base == "") | (F.col(pos) < 1), F.lit("N")).otherwise(base)).drop("_rc", "_rk", "_rs", "_rq")
+    offset = (F.col(pos) - F.col("_rs") - 1).cast("int")
+    base = F.substr(F.get("_rp", F.floor(offset / PIECE).cast("int")), F.pmod(offset, F.lit(PIECE)) + 1, F.lit(1))
+    return joined.withColumn(name, F.when(F.col(pos) < 1, F.lit("N")).otherwise(F.coalesce(F.nullif(base, F.lit("")), F.lit("N")))).drop("_rc", "_rk", "_rs", "_rp")
 
 
 def with_slice(rows: DataFrame, reference: DataFrame, key: list[str], length: Column, chrom: str = "chrom", pos: str = "pos", name: str = "ref_slice", chunk: int = CHUNK) -> DataFrame:

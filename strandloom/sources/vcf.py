@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import records as R
+from strandloom.plans.storage import small_methods
 
 COLUMNS = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample"]
 #: Words of a line; the last one keeps the rest.
@@ -51,6 +52,7 @@ def parse_records(lines: DataFrame, tool: str = "block", keep: tuple[str, ...] =
     A short SAMPLE is padded with ``.``, as trailing fields may be dropped; a long one is an error, as is an empty REF,
     an unreadable POS or a line with too few (or, by ``tool``, too many) columns. Empty lines are skipped.
     """
+    small_methods(lines.sparkSession)
     least, most = WIDTHS[tool]
     body = lines.filter(~F.col("value").startswith("#") & (F.col("value") != ""))
     words = body.withColumn("word", F.split("value", "\t", MOST_WORDS)).withColumn("n_word", F.size("word"))
@@ -58,9 +60,9 @@ def parse_records(lines: DataFrame, tool: str = "block", keep: tuple[str, ...] =
     def word(k: int) -> Column:
         return F.get("word", F.lit(k))
 
-    format, sample = R.listed(word(8), ":"), R.listed(word(9), ":")
+    words = words.withColumns({"_pos": R.parse_unsigned(word(1)), "_format": R.listed(word(8), ":"), "_sample": R.listed(word(9), ":")})
+    format, sample, pos = F.col("_format"), F.col("_sample"), F.col("_pos")
     short = F.size(format) - F.size(sample)
-    pos = R.parse_unsigned(word(1))
     wrong = (
         F.when(F.col("n_word") < least, F.lit("too few fields"))
         .when((F.col("n_word") > most) if most else F.lit(False), F.lit("too many fields"))
@@ -68,7 +70,8 @@ def parse_records(lines: DataFrame, tool: str = "block", keep: tuple[str, ...] =
         .when(word(3) == "", F.lit("empty reference field"))
         .when(short < 0, F.lit("FORMAT and SAMPLE do not agree"))
     )
-    chrom = F.when(wrong.isNull(), word(0)).otherwise(F.raise_error(F.concat(wrong, F.lit(" in record: "), F.col("value"))))
+    # never null, so that no join asks for it, which would read the line twice
+    chrom = F.coalesce(F.when(wrong.isNull(), word(0)).otherwise(F.raise_error(F.concat(wrong, F.lit(" in record: "), F.col("value")))), F.lit(""))
     kept = [c for c in keep if c in lines.columns]
     return words.select(
         *kept,

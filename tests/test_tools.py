@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom import cli
+from strandloom.functions import records as R
 from strandloom.operators import blocks, concordance, filters, intervals, merge, sites
 from strandloom.sources import reference as ref
 from strandloom.sources import regions, vcf
@@ -258,3 +259,35 @@ def test_slices_over_chunks(spark):
         for key, chrom, pos, n in rows:
             if pos >= 1:
                 assert got[key] == ((text[pos - 1 : pos - 1 + n] or None) if chrom == "chr1" else None), (chunk, pos, n)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_parsed_once_for_check_and_tool(spark):
+    genome = ref.from_sequences(spark, {"chr1": "ACGTAACCGT"})
+    rows = records(spark, "chr1 1 . A . . PASS END=6 GT:DP 0/0:9", "chr1 7 . C T . PASS . GT:DP 0/1:9", tool="multi").withColumn("sample_id", F.lit(0))
+    rows = rows.unionByName(rows.withColumn("sample_id", F.lit(1)))
+    for found in (concordance.twins(rows, genome)[0], merge.loci(rows, genome)):
+        assert "split(value" not in plan_of(found) and found.count() == 7
+    judged = plan_of(concordance.twins(rows, genome)[0].select("chrom", "pos", "state"))
+    assert not any("raw" in line for line in judged.splitlines() if "Aggregate" in line)  # lines go to those who read them
+
+
+def test_base_lookups_walk_over_short_pieces(spark):
+    rnd = random.Random(9)
+    text = "".join(rnd.choice("ACGTN") for _ in range(ref.CHUNK + 3 * ref.PIECE + 5))
+    genome = ref.from_sequences(spark, {"chr1": text})
+    at = [-5, 0, 1, ref.PIECE, ref.PIECE + 1, ref.CHUNK, ref.CHUNK + 1, len(text) - 1, len(text), len(text) + 1, 3 * ref.CHUNK] + [rnd.randint(1, len(text)) for _ in range(200)]
+    found = ref.with_base(spark.createDataFrame([("chr1", p) for p in at], "chrom string, pos long"), genome)
+    assert all(r["ref_base"] == (text[r["pos"] - 1] if 1 <= r["pos"] <= len(text) else "N") for r in found.collect())
+    assert "seq" not in plan_of(found).split("Join")[0]  # the chunk's whole text stays on the reference's side
+
+
+def test_integers_that_do_not_fit(spark):
+    texts = ["2147483647", "2147483648", "-2147483648", "-2147483649", "+7x", "9" * 30, "0" * 40 + "5", "x", "", "4294967295", "4294967296", "9223372036854775808"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", R.parse_int("t").alias("i"), R.parse_unsigned("t").alias("u"), R.parse_long("t").alias("l")).orderBy("k").collect()
+    assert [r["i"] for r in rows] == [2147483647, None, -2147483648, None, 7, None, 5, None, None, None, None, None]
+    assert [r["u"] for r in rows] == [2147483647, 2147483648, None, None, 7, None, 5, None, None, 4294967295, None, None]
+    assert [r["l"] for r in rows] == [2147483647, 2147483648, -2147483648, -2147483649, 7, None, 5, None, None, 4294967295, 4294967296, None]
