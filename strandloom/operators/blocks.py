@@ -17,6 +17,8 @@ from strandloom.plans import ordered
 from strandloom.plans.storage import stored
 
 ORDER = ["pos", "line_no"]
+#: Columns of parsed lines that the tool's output doesn't read.
+UNREAD = ("raw", "n_word")
 
 
 def with_buffers(records: DataFrame, width: int = ordered.BIN) -> DataFrame:
@@ -29,7 +31,7 @@ def with_buffers(records: DataFrame, width: int = ordered.BIN) -> DataFrame:
     """
     indel = R.is_indel_any_long()
     end = F.when(indel, F.col("pos") + F.length("ref") - 1)
-    found = ordered.max_before(records, ["chrom"], "pos", ORDER, end, "_reach", width)
+    found = ordered.max_before(records, ["chrom"], "pos", ORDER, end, "_reach", width, keep=True)
     opens = indel & (F.col("_reach").isNull() | (F.col("pos") + 2 > F.col("_reach")))
     found = found.withColumns({"_indel": indel, "opens": opens})
     found = ordered.sum_through(found, ["chrom"], "pos", ORDER, F.col("opens").cast("long"), "buffer", width)
@@ -46,7 +48,8 @@ def groom_buffers(records: DataFrame, options: BlockOptions = BlockOptions(), wi
     no copy, and calls become unknown; several indels give a conflict filter instead of their own. Changed records are
     groomed again.
     """
-    names = records.columns
+    records = records.select(*[c for c in records.columns if c not in UNREAD])
+    names = [c for c in records.columns if c != "_bin"]
     found = stored(with_buffers(records, width), "buffers")
     member = F.when(F.col("buffered"), True)
     sole = F.struct("line_no", F.col("filter").alias("filters"), R.try_gt(R.sample_value("GT")).alias("gt"))
@@ -62,12 +65,14 @@ def groom_buffers(records: DataFrame, options: BlockOptions = BlockOptions(), wi
     groups = groups.join(last, F.col("chrom") == F.col("_lc"))
     judged = groups.filter("_members > 1 AND (_behind > 0 OR buffer = _last)")
     judged = judged.select(F.col("chrom").alias("_gc"), F.col("buffer").alias("_gb"), "_indels", (F.col("_open_pos") + 1).alias("_span_begin"), "_span_end", "_sole")
-    met = found.join(judged, (F.col("chrom") == F.col("_gc")) & (F.col("buffer") == F.col("_gb")) & F.col("buffered"), "left")
+    # only what is in a buffer meets it, so the rest needs no shuffle
+    within = found.filter("buffered")
+    met = within.join(judged, (F.col("chrom") == F.col("_gc")) & (F.col("buffer") == F.col("_gb")), "left")
     change = F.coalesce(F.col("pos").between(F.col("_span_begin"), F.col("_span_end")), F.lit(False))
     met = met.withColumn("_change", change)
     changed = adjusted(met.filter("_change"), options)
     groomed = filters.groom(changed.select(*names), options)
-    return met.filter("NOT _change").select(*names).unionByName(groomed.select(*names))
+    return found.filter("NOT buffered").select(*names).unionByName(met.filter("NOT _change").select(*names)).unionByName(groomed.select(*names))
 
 
 def adjusted(rows: DataFrame, options: BlockOptions) -> DataFrame:
@@ -118,7 +123,7 @@ def islands(records: DataFrame, options: BlockOptions = BlockOptions(), width: i
         }
     )
     here = F.struct(F.col("pos"), F.col("blockable"), F.array_join("filter", ";").alias("filter"), F.col("gt"), F.col("covered"))
-    found = ordered.last_before(found, ["chrom"], "pos", ORDER, here, "_last", width)
+    found = ordered.last_before(found, ["chrom"], "pos", ORDER, here, "_last", width, keep=True)
     same = F.col("_last.blockable") & (F.col("pos") == F.col("_last.pos") + 1) & (F.array_join("filter", ";") == F.col("_last.filter")) & (F.col("gt") == F.col("_last.gt")) & (F.col("covered") == F.col("_last.covered"))
     found = found.withColumn("_new", F.when(F.coalesce(same, F.lit(False)) & F.col("blockable"), 0).otherwise(1).cast("long")).drop("_last")
     return ordered.sum_through(found, ["chrom"], "pos", ORDER, F.col("_new"), "island", width).drop("_new")
@@ -248,14 +253,16 @@ def stream_stat(df: DataFrame, value: str, by: list[str] | None = None) -> DataF
     )
 
 
+#: What blocks read of their sites.
+IN_BLOCKS = ["line_no", "chrom", "pos", "id", "ref", "filter", "gt", "covered", "blockable", "island", "gqx", "dp", "mq"]
 OUT = ["line_no", "chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample"]
 
 
 def compress(records: DataFrame, options: BlockOptions = BlockOptions(), width: int = ordered.BIN) -> tuple[DataFrame, DataFrame]:
     """Records with non-variant sites in blocks, and the blocks' summary for :func:`block_stats`."""
-    found = stored(islands(records, options, width), "islands")
+    found = stored(islands(records.select(*[c for c in records.columns if c not in UNREAD]), options, width), "islands")
     rest = filters.write_gqx(found.filter("NOT blockable")).select(*OUT)
-    summary = block_summary(with_blocks(found, options))
+    summary = block_summary(with_blocks(found.select(*IN_BLOCKS), options))
     return rest.unionByName(block_records(summary, options.label)), summary
 
 
@@ -263,6 +270,7 @@ def block_vcf(records: DataFrame, options: BlockOptions = BlockOptions(), depths
     """The whole tool: repeats dropped, records groomed, overlaps with indels settled, sites compressed; and the summary."""
     if depths is not None:
         records = filters.with_depth_limit(records, depths, options.max_depth_factor)
-    groomed = stored(filters.groom(filters.without_repeats(stored(records, "records"), width), options), "groomed")
+    records = stored(records.select(*[c for c in records.columns if c not in UNREAD]), "records")
+    groomed = filters.groom(filters.without_repeats(records, width, keep=True), options)
     return compress(stored(groom_buffers(groomed, options, width), "settled"), options, width)
 

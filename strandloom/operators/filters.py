@@ -111,7 +111,7 @@ def add_gqx_filter(records: DataFrame, minimum: str, label: str = "LowGQX") -> D
 def with_depth_limit(records: DataFrame, depths: DataFrame, factor: str = "3.0") -> DataFrame:
     """Records with ``depth_limit``: the chromosome's mean depth times the factor, null for chromosomes without a depth."""
     limits = depths.select(F.col("chrom").alias("_dc"), (F.col("depth") * float(factor)).alias("depth_limit"))
-    return records.join(limits, F.col("chrom") == F.col("_dc"), "left").drop("_dc")
+    return records.join(F.broadcast(limits), F.col("chrom") == F.col("_dc"), "left").drop("_dc")
 
 
 def too_deep() -> Column:
@@ -147,14 +147,15 @@ def groom(records: DataFrame, options: BlockOptions = BlockOptions()) -> DataFra
     return records.select(*names)
 
 
-def without_repeats(records: DataFrame, width: int = ordered.BIN) -> DataFrame:
+def without_repeats(records: DataFrame, width: int = ordered.BIN, keep: bool = False) -> DataFrame:
     """Records without multi-base non-variant ones, and without non-indels at or before an earlier non-indel's position.
 
-    Positions are taken in file order, as ``line_no`` has it; within a chromosome they rise, but for the repeats.
+    Positions are taken in file order, as ``line_no`` has it; within a chromosome they rise, but for the repeats. ``keep`` is
+    that of :mod:`strandloom.plans.ordered`.
     """
     own = records.filter(~R.is_nonvariant_block())
     place = F.when(~R.is_indel_any_long(), F.col("pos"))
-    found = ordered.max_before(own, ["chrom"], "pos", ["pos", "line_no"], place, "_last", width)
+    found = ordered.max_before(own, ["chrom"], "pos", ["pos", "line_no"], place, "_last", width, keep)
     return found.filter(R.is_indel_any_long() | F.col("_last").isNull() | (F.col("pos") > F.col("_last"))).drop("_last")
 
 

@@ -116,7 +116,7 @@ def murdock(records: DataFrame, width: int = ordered.BIN) -> DataFrame:
     over. Such places (by a running maximum) cut a chromosome into clusters, and each cluster is a short fold.
     """
     order = ["pos", "is_indel", "line_no"]
-    found = ordered.max_before(records, ["sample_id", "chrom"], "pos", order, F.col("locus_end"), "_reach", width)
+    found = ordered.max_before(records, ["sample_id", "chrom"], "pos", order, F.col("locus_end"), "_reach", width, keep=True)
     fresh = F.when(F.col("_reach").isNull() | (F.col("pos") > F.col("_reach")), 1).otherwise(0).cast("long")
     found = ordered.sum_through(found.withColumn("_fresh", fresh), ["sample_id", "chrom"], "pos", order, F.col("_fresh"), "_cluster", width)
     found = found.repartition("sample_id", "chrom", "_cluster").sortWithinPartitions("sample_id", "chrom", "_cluster", *order)
